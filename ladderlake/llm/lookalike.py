@@ -75,7 +75,7 @@ def compatible(text: str) -> str:
             out.append(" ")
             continue
         d = unicodedata.decomposition(ch)
-        if d.startswith("<"):
+        if d.startswith("<") and ch not in CLASS_OF:
             out.append(unicodedata.normalize("NFKC", ch) if d.split(" ")[0] in PLAIN_FORMS else ch)
         else:
             out.append(ch)
