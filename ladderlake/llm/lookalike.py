@@ -17,6 +17,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters that look like the Latin letter they stand under, by script.
 LOOKALIKES: dict[str, tuple[str, str]] = {
@@ -130,7 +131,7 @@ def train_bigrams(names: DataFrame, column: str) -> dict[str, float]:
 def canonical_column(column: Column, bigrams: Mapping[str, float]) -> Column:
     """Arrow UDF for :func:`canonical`; repeated names cost one look-up."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(names: pd.Series) -> pd.Series:
         memo: dict[str, str] = {}
         out = []
