@@ -27,10 +27,15 @@ from ladderlake.session import cut
 K1, B = 1.2, 0.3
 #: Tokens of a query whose postings give the first bound on its k-th best score.
 SEEDS = 4
+#: Neighbours of a record that the mutual test and the exact check look at: a
+#: second account with the same tag may stand before the right one.
+NEAR = 4
 #: Queries whose top pair is labelled to fit the calibration; the bound keeps the driver's part fixed.
 CALIBRATION_ROWS = 4_000
 # Characters that screen reading confuses, and the one they are read as here.
 CONFUSED = str.maketrans({"0": "o", "1": "l", "i": "l", "2": "z", "5": "s", "6": "b", "8": "b", "9": "g", "v": "u", "c": "e", "f": "t"})
+# Fixed value: endings that tell a second account of a player, in skeleton letters.
+SECOND_ACCOUNT = "^(?:[a-z]|[0-9]{1,2}|ll|lll|z|alt|tarm|jr|bank|mlnl|lou|xx)$"
 _TAG = re.compile(r"^\s*\[([^\[\]]{1,6})\]\s*")
 _CUT = re.compile(r"(\.{2,}|…)\s*$")
 
@@ -202,23 +207,29 @@ def _power_agrees(a: Column, b: Column) -> Column:
 def exact_check(pairs: DataFrame) -> DataFrame:
     """Names and powers of a pair compared exactly: adds alike (0..1), agrees and added.
 
-    ``added``: one name is the other with something put at its end, as second
-    accounts are called.  Cut names are compared up to the cut.
+    ``added``: one name is the other with an ending that second accounts have.
+    Cut names are compared up to the cut.
     """
     a, b = F.regexp_replace("q_skel", "…", ""), F.regexp_replace("d_skel", "…", "")
-    shorter = F.when(F.col("q_skel").endswith("…"), F.length(a)).when(F.col("d_skel").endswith("…"), F.length(b))
     ca = F.when(F.col("d_skel").endswith("…"), F.substring(a, F.lit(1), F.length(b))).otherwise(a)
     cb = F.when(F.col("q_skel").endswith("…"), F.substring(b, F.lit(1), F.length(a))).otherwise(b)
     alike = 1 - F.levenshtein(ca, cb) / F.greatest(F.length(ca), F.length(cb), F.lit(1))
-    del shorter
     whole = ~F.col("q_skel").endswith("…") & ~F.col("d_skel").endswith("…")
-    added = whole & (a != b) & (a.startswith(b) | b.startswith(a)) & (F.length(a) != F.length(b))
+    longer = F.when(F.length(a) > F.length(b), a).otherwise(b)
+    shorter = F.when(F.length(a) > F.length(b), b).otherwise(a)
+    extra = F.when(longer.startswith(shorter), F.substring(longer, F.length(shorter) + 1, F.lit(8)))
+    added = whole & F.coalesce(extra.rlike(SECOND_ACCOUNT), F.lit(False))
     return pairs.withColumn("alike", F.when((F.length(a) > 0) & (F.length(b) > 0), alike)).withColumn("agrees", _power_agrees(F.col("q_power"), F.col("d_power"))).withColumn("added", added)
 
 
 def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """(left_id, right_id, confidence) of records about the same thing; both sides as made by :func:`records`.
 
+    A pair must hold in the exact check: close powers and half-way alike names,
+    or, where a power is missing, alike names without a second account's ending.
+    With neither a close power nor nearly equal names the confidence must reach
+    ``least``.
+
     Every record of the left side comes out at most once; of the right side
     several times if the left side holds it several times.  Defined results:
     records whose scope is null are searched for in all scopes and need agreeing
@@ -231,11 +242,11 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     twins = left.groupBy(*same).agg(F.min("id").alias("rep"))
     reps = cut(left.join(twins.select(F.col("rep").alias("id")), "id", "left_semi"))
     scoped, free = reps.where("scope is not null"), reps.where("scope is null")
-    onto = cut(nearest(scoped, right, 2))
-    back = nearest(right.where("scope is not null"), scoped, 3).select(F.col("query").alias("id"), F.col("id").alias("query"), F.col("place").alias("back_place"), F.col("share").alias("back_share"))
+    onto = cut(nearest(scoped, right, NEAR))
+    back = nearest(right.where("scope is not null"), scoped, NEAR).select(F.col("query").alias("id"), F.col("id").alias("query"), F.col("place").alias("back_place"), F.col("share").alias("back_share"))
     best_back = W.partitionBy("id")
     back = back.withColumn("lead_share", F.max("back_share").over(best_back))
-    mutual = onto.join(back, ["query", "id"]).where("place = 1 or share > 0.5").withColumn("mutual", (F.col("back_place") == 1) | (F.col("back_share") >= 0.6 * F.col("lead_share")))
+    mutual = onto.join(back, ["query", "id"]).withColumn("mutual", (F.col("back_place") == 1) | (F.col("back_share") >= 0.4 * F.col("lead_share")))
     weights = calibration(onto, scoped, right)
     anywhere = nearest(free.withColumn("scope", F.lit(0).cast("bigint")), right.withColumn("scope", F.lit(0).cast("bigint")), 2)
     cols = ["query", "id", "place", "share", "gap"]
@@ -248,12 +259,11 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     agrees = F.coalesce(F.col("agrees"), F.lit(-1))
     holds = (
         ((agrees == 2) & (F.col("alike") >= 0.45))
-        | ((agrees == 1) & (F.col("alike") >= 0.6) & ~F.col("added"))
-        | ((agrees == 1) & F.col("added") & (F.col("alike") >= 0.8) & tags)
-        | (agrees.isin(-1, 0) & (F.col("alike") >= 0.75) & ~F.col("added"))
+        | ((agrees == 1) & (F.col("alike") >= 0.5))
+        | ((agrees == -1) & (F.col("alike") >= 0.6) & ~F.col("added"))
     )
     strict = F.col("scoped") | ((F.col("alike") >= 0.8) & ((agrees >= 1) | tags))
-    judged = full.withColumn("confidence", confidence).where(holds & strict & ((F.col("confidence") >= least) | (agrees == 2)))
+    judged = full.withColumn("confidence", confidence).where(holds & strict & ((F.col("confidence") >= least) | (agrees >= 1) | (F.col("alike") >= 0.8)))
     # a record of the left side keeps its best verified partner
     w = W.partitionBy("query").orderBy(F.desc("agrees"), F.desc("alike"), F.desc("share"), "id")
     one = judged.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("query").alias("rep"), "id", "confidence")
