@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderlake.plans import dq
+from ladderlake.plans import dq, warehouse
 
-_MODULES = (dq,)
+_MODULES = (dq, warehouse)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
