@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderlake.plans import dq, warehouse
+from ladderlake.plans import analytics, dq, warehouse
 
-_MODULES = (dq, warehouse)
+_MODULES = (dq, warehouse, analytics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dq.p3_report(spark, sf_dir)
+    return analytics.QUERIES["score_overall"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
