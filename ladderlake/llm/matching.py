@@ -35,7 +35,7 @@ CALIBRATION_ROWS = 4_000
 # Characters that screen reading confuses, and the one they are read as here.
 CONFUSED = str.maketrans({"0": "o", "1": "l", "i": "l", "2": "z", "5": "s", "6": "b", "8": "b", "9": "g", "v": "u", "c": "e", "f": "t"})
 # Fixed value: endings that tell a second account of a player, in skeleton letters.
-SECOND_ACCOUNT = "^(?:[a-z]|[0-9]{1,2}|ll|lll|z|alt|tarm|jr|bank|mlnl|lou|xx)$"
+SECOND_ACCOUNT = "^(?:[a-wyz]|[0-9]{1,2}|ll|lll|alt|tarm|jr|bank|mlnl)$"
 _TAG = re.compile(r"^\s*\[([^\[\]]{1,6})\]\s*")
 _CUT = re.compile(r"(\.{2,}|…)\s*$")
 
@@ -192,7 +192,11 @@ def calibration(found: DataFrame, queries: DataFrame, index: DataFrame, rows: in
 
 
 def _power_agrees(a: Column, b: Column) -> Column:
-    """2 where two powers are the same number rounded, scaled by thousands or with a digit dropped; 1 where they are close; 0 where not; null if one is missing."""
+    """How two powers agree.
+
+    3: the same digits, perhaps scaled by thousands, with one dropped or one
+    misread; 2: equal up to rounding; 1: close; 0: neither; null if one is missing.
+    """
     low, high = F.least(a, b), F.greatest(a, b)
     scaled = F.when(high / low > 500, low * 1000).otherwise(low)
     ratio = high / F.when(scaled > 0, scaled)
@@ -200,8 +204,12 @@ def _power_agrees(a: Column, b: Column) -> Column:
     longer = F.when(F.length(da) > F.length(db), da).otherwise(db)
     shorter = F.when(F.length(da) > F.length(db), db).otherwise(da)
     dropped = (F.length(longer) == F.length(shorter) + 1) & (F.levenshtein(longer, shorter) == 1)
-    swapped = (F.length(da) == F.length(db)) & (F.levenshtein(da, db) <= 1)
-    return F.when(a.isNull() | b.isNull() | (a <= 0) | (b <= 0), None).when(ratio.between(0.998, 1.002) | dropped | swapped, 2).when(ratio <= 1.06, 1).otherwise(0)
+    misread = (F.length(da) == F.length(db)) & (F.levenshtein(da, db) <= 1)
+    cut_off = (F.length(longer) == F.length(shorter) + 3) & longer.startswith(shorter)
+    digits = (F.length(shorter) >= 5) & ~shorter.endswith("0000") & (dropped | misread | cut_off)
+    return (
+        F.when(a.isNull() | b.isNull() | (a <= 0) | (b <= 0), None).when(digits, 3).when(ratio.between(0.998, 1.002), 2).when(ratio <= 1.06, 1).otherwise(0)
+    )
 
 
 def exact_check(pairs: DataFrame) -> DataFrame:
@@ -223,12 +231,12 @@ def exact_check(pairs: DataFrame) -> DataFrame:
 
 
 def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """(left_id, right_id, confidence) of records about the same thing; both sides as made by :func:`records`.
+    """(left_id, right_id, confidence, alike, agrees) of records about the same thing; both sides as made by :func:`records`.
 
-    A pair must hold in the exact check: close powers and half-way alike names,
-    or, where a power is missing, alike names without a second account's ending.
-    With neither a close power nor nearly equal names the confidence must reach
-    ``least``.
+    A pair must hold in the exact check, where the names must be the more alike
+    the less the powers agree; where a power is missing, a second account's
+    ending tells two players apart.  Without any agreement of powers or tags
+    the confidence must reach ``least``.
 
     Every record of the left side comes out at most once; of the right side
     several times if the left side holds it several times.  Defined results:
@@ -257,17 +265,24 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     confidence = F.round(1 / (1 + F.exp(-logit)), 6)
     tags = F.lower(F.col("q_tag")).eqNullSafe(F.lower(F.col("d_tag"))) & F.col("q_tag").isNotNull()
     agrees = F.coalesce(F.col("agrees"), F.lit(-1))
+    alike, near = F.col("alike"), F.greatest("q_power", "d_power") / F.least("q_power", "d_power") <= 1.025
+    # the weaker the powers agree, the more alike the names must be or the tags must speak for the pair
     holds = (
-        ((agrees == 2) & (F.col("alike") >= 0.45))
-        | ((agrees == 1) & (F.col("alike") >= 0.5))
-        | ((agrees == -1) & (F.col("alike") >= 0.6) & ~F.col("added"))
+        ((agrees == 3) & (alike >= 0.35))
+        | ((agrees == 2) & ((alike >= 0.7) | (tags & (alike >= 0.5))))
+        | ((agrees == 1) & ((alike >= 0.86) | ((alike >= 0.7) & (tags | (near & (F.col("confidence") >= 0.05)))) | ((alike >= 0.5) & tags)))
+        | ((agrees == -1) & ~F.col("added") & ((alike >= 0.85) | ((alike >= 0.7) & tags)))
     )
     strict = F.col("scoped") | ((F.col("alike") >= 0.8) & ((agrees >= 1) | tags))
-    judged = full.withColumn("confidence", confidence).where(holds & strict & ((F.col("confidence") >= least) | (agrees >= 1) | (F.col("alike") >= 0.8)))
+    judged = full.withColumn("confidence", confidence).where(holds & strict & ((F.col("confidence") >= least) | (agrees >= 1) | tags))
     # a record of the left side keeps its best verified partner
     w = W.partitionBy("query").orderBy(F.desc("agrees"), F.desc("alike"), F.desc("share"), "id")
-    one = judged.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("query").alias("rep"), "id", "confidence")
+    one = judged.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("query").alias("rep"), "id", "confidence", F.round("alike", 6).alias("alike"), "agrees")
     every = [F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]
     on = every[0] & every[1] & every[2] & every[3]
+    # of several claims to one record, those count that are about as good as the best
+    best = W.partitionBy("id")
+    strength = F.col("agrees").isNotNull().cast("int") * F.least(F.coalesce("agrees", F.lit(0)), F.lit(2)) + F.col("alike")
+    one = one.withColumn("strength", strength).withColumn("top", F.max("strength").over(best)).where("strength >= top - 1.15 and alike >= 0.6 or strength = top").drop("strength", "top")
     members = left.alias("l").join(twins.alias("t"), on).select(F.col("l.id").alias("left_id"), F.col("t.rep").alias("rep"))
-    return members.join(one, "rep").select("left_id", F.col("id").alias("right_id"), "confidence")
+    return members.join(one, "rep").select("left_id", F.col("id").alias("right_id"), "confidence", "alike", "agrees")

@@ -13,7 +13,7 @@ def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched rows of both tables with their confidence."""
     left = matching.records(table(spark, sf_dir, "sheet_players"), "sheet_row_id", "server", "player", "alliance", "thp")
     right = matching.records(table(spark, sf_dir, "player_rankings"), "entry_id", "server", "player_name", "alliance_tag", "power")
-    return matching.match(left, right).select(F.col("left_id").alias("sheet_row_id"), F.col("right_id").alias("entry_id"), "confidence")
+    return matching.match(left, right).select(F.col("left_id").alias("sheet_row_id"), F.col("right_id").alias("entry_id"), "confidence", "alike", "agrees")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
