@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderlake.plans import analytics, dq, reasoning, warehouse
+from ladderlake.plans import analytics, dq, quality, reasoning, warehouse
 
-_MODULES = (dq, warehouse, analytics, reasoning)
+_MODULES = (dq, warehouse, analytics, reasoning, quality)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
