@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +40,9 @@ def upsert_writer(path: str, keys: list[str], order: str) -> Callable[[DataFrame
     """A ``foreachBatch`` writer where the last write per key wins; a batch that is run again gives the same table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = f"{path}/g{batch_id - 1}"
         merged = batch
-        if batch_id and os.path.exists(last):
-            merged = spark.read.parquet(last).unionByName(batch)
+        if batch_id:
+            merged = batch.sparkSession.read.parquet(f"{path}/g{batch_id - 1}").unionByName(batch)
         latest_per(merged, keys, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/g{batch_id}")
 
     return write
