@@ -102,16 +102,17 @@ def postings(index: DataFrame) -> DataFrame:
     return flat.join(df, "token").crossJoin(F.broadcast(total)).select("scope", "token", "id", (idf * sat).alias("part"))  # total: one row
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
+def top_k(queries: DataFrame, parts: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
     """(query, id, score, place): the k best records of the query's scope under BM25, exactly.
 
+    ``parts``: the index as made by :func:`postings`, materialised.
+
     First the postings of each query's rarest tokens give a lower bound on its
     k-th best score.  Tokens whose greatest contributions together stay below
     that bound cannot bring in a record by themselves; only the others'
     postings are read.  What can still reach the bound is scored in full.
     Ties fall to the smallest id.
     """
-    parts = cut(postings(index))
     bound = parts.groupBy("scope", "token").agg(F.max("part").alias("most"), F.count(F.lit(1)).alias("df"))
     asked = queries.select("scope", F.col("id").alias("query"), F.explode("tokens").alias("token"))
     known = cut(asked.join(bound, ["scope", "token"]))
@@ -136,18 +137,18 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, seeds: int = SEEDS) -> D
     return full.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _self_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Score of a query against a record with exactly its tokens that the index knows; the scale of its other scores."""
-    total = index.agg(F.count(F.lit(1)).alias("n"))
-    df = index.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def _self_scores(queries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Score of a query against a record with exactly its tokens; the scale of its other scores."""
+    total = parts.agg(F.countDistinct("id").alias("n"))
+    df = parts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select(F.col("id").alias("query"), F.explode("tokens").alias("token")).join(df, "token", "left").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
     return asked.groupBy("query").agg(F.sum(idf).alias("self"))
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query, id, place, share, gap): score as a share of the query's own, and for the first place its lead over the second."""
-    hits = top_k(queries, index, k).join(_self_scores(queries, index), "query")
+def nearest(queries: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(query, id, place, share, gap): score as a share of the query's own, and its lead over the next place."""
+    hits = top_k(queries, parts, k).join(_self_scores(queries, parts), "query")
     w = W.partitionBy("query").orderBy("place")
     share = F.col("score") / F.greatest("self", F.lit(1e-9))
     return hits.withColumn("share", share).withColumn("gap", F.col("share") - F.coalesce(F.lead("share").over(w), F.lit(0.0))).select("query", "id", "place", "share", "gap")
@@ -167,7 +168,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return w
 
 
-def calibration(found: DataFrame, queries: DataFrame, index: DataFrame, rows: int = CALIBRATION_ROWS) -> np.ndarray:
+def calibration(found: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, rows: int = CALIBRATION_ROWS) -> np.ndarray:
     """Logistic weights for (share, gap).
 
     Right pairs: first places whose powers agree in all of at least seven
@@ -180,7 +181,7 @@ def calibration(found: DataFrame, queries: DataFrame, index: DataFrame, rows: in
     scopes = index.select("scope").where("scope is not null").distinct()
     moved = scopes.withColumn("other", F.coalesce(F.lead("scope").over(W.orderBy("scope")), F.min("scope").over(W.orderBy("scope")))).where("other <> scope")
     strangers = small.join(moved, "scope").select("id", F.col("other").alias("scope"), "tokens")
-    wrong = nearest(strangers, index, 2).where("place = 1").select("share", "gap")
+    wrong = nearest(strangers, parts, 2).where("place = 1").select("share", "gap")
     firsts = found.where("place = 1").orderBy(F.xxhash64("query")).limit(rows)
     pair = firsts.join(queries.select(F.col("id").alias("query"), F.col("power").alias("qp")), "query").join(index.select("id", F.col("power").alias("dp")), "id")
     right = pair.where("qp = dp and qp >= 1000000").select("share", "gap")
@@ -250,15 +251,19 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     twins = left.groupBy(*same).agg(F.min("id").alias("rep"))
     reps = cut(left.join(twins.select(F.col("rep").alias("id")), "id", "left_semi"))
     scoped, free = reps.where("scope is not null"), reps.where("scope is null")
-    onto = cut(nearest(scoped, right, NEAR))
-    back = nearest(right.where("scope is not null"), scoped, NEAR).select(F.col("query").alias("id"), F.col("id").alias("query"), F.col("place").alias("back_place"), F.col("share").alias("back_share"))
+    parts = cut(postings(right))
+    onto = cut(nearest(scoped, parts, NEAR))
+    back = nearest(right.where("scope is not null"), cut(postings(scoped)), NEAR).select(F.col("query").alias("id"), F.col("id").alias("query"), F.col("place").alias("back_place"), F.col("share").alias("back_share"))
     best_back = W.partitionBy("id")
     back = back.withColumn("lead_share", F.max("back_share").over(best_back))
     mutual = onto.join(back, ["query", "id"]).withColumn("mutual", (F.col("back_place") == 1) | (F.col("back_share") >= 0.4 * F.col("lead_share")))
-    weights = calibration(onto, scoped, right)
-    anywhere = nearest(free.withColumn("scope", F.lit(0).cast("bigint")), right.withColumn("scope", F.lit(0).cast("bigint")), 2)
+    weights = calibration(onto, scoped, right, parts)
     cols = ["query", "id", "place", "share", "gap"]
-    pairs = mutual.where("mutual").select(*cols, F.lit(True).alias("scoped")).unionByName(anywhere.where("place = 1").select(*cols, F.lit(False).alias("scoped")))
+    pairs = mutual.where("mutual").select(*cols, F.lit(True).alias("scoped"))
+    if not free.isEmpty():
+        whole = F.lit(0).cast("bigint")
+        anywhere = nearest(free.withColumn("scope", whole), parts.withColumn("scope", whole), 2)
+        pairs = pairs.unionByName(anywhere.where("place = 1").select(*cols, F.lit(False).alias("scoped")))
     side = lambda df, p, key: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("skel", "tag", "power")])
     full = exact_check(pairs.join(side(reps, "q", "query"), "query").join(side(right, "d", "id"), "id"))
     logit = float(weights[0]) * F.col("share") + float(weights[1]) * F.col("gap") + float(weights[2])

@@ -46,7 +46,7 @@ def test_pruned_search_is_exact(spark):
     index, asked = make(0, 120), make(1000, 60)
     schema = "id bigint, scope bigint, tokens array<string>"
     got = {}
-    for r in matching.top_k(spark.createDataFrame(asked, schema), spark.createDataFrame(index, schema), 3).orderBy("query", "place").collect():
+    for r in matching.top_k(spark.createDataFrame(asked, schema), matching.postings(spark.createDataFrame(index, schema)), 3).orderBy("query", "place").collect():
         got.setdefault(r["query"], []).append(round(r["score"], 5))
     want = {q: s for q, s in brute_bm25(asked, index, 3).items() if s}
     assert {q: pytest.approx(s, abs=2e-5) for q, s in want.items()} == got
