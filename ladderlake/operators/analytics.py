@@ -28,7 +28,8 @@ DEPTH = f"CASE WHEN alliances < 3 THEN 0.0 ELSE {falling('gini', 0.60)} END"
 PLAYER = f"CASE WHEN players < 5 THEN 0.0 ELSE {linear('mean_thp', 180e6, 350e6)} END"
 STABILITY = f"CASE WHEN points < 3 THEN 0.0 ELSE {falling('volatility', 25.0)} END"
 WEIGHTS = {"growth_score": 0.30, "power_score": 0.35, "depth_score": 0.20, "player_score": 0.15, "stability_score": 0.10}
-OVERALL = "round((" + " + ".join(f"{w} * {c}" for c, w in WEIGHTS.items()) + f") / {sum(WEIGHTS.values()):.2f}, 2)"
+#: The billionth settles ties of the second decimal alike wherever the expression runs.
+OVERALL = "round((" + " + ".join(f"{w} * {c}" for c, w in WEIGHTS.items()) + f") / {sum(WEIGHTS.values()):.2f} + 1e-9, 2)"
 TRAIT = "CASE WHEN overall_score >= 80 THEN 'Elite' WHEN overall_score >= 60 THEN 'Strong' WHEN overall_score >= 40 THEN 'Solid' WHEN overall_score >= 20 THEN 'Weak' ELSE 'Fragile' END"
 RISK = "CASE WHEN stability_score < 25 THEN 'High' WHEN stability_score < 60 THEN 'Medium' ELSE 'Low' END"
 STARS = "CASE WHEN overall_score >= 80 THEN 5 WHEN overall_score >= 60 THEN 4 WHEN overall_score >= 40 THEN 3 WHEN overall_score >= 20 THEN 2 ELSE 1 END"

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ladderlake.functions.medians import grouped_median
 
+#: Stands for a null on the way to Python, where a column with nulls would lose the last digits of large integers.
+NOTHING = -(2**63)
 REACH = 3  # readings looked at on either side, and the repeats that make a run
 
 
@@ -86,13 +88,13 @@ def chart_suspects(values: np.ndarray, starts: np.ndarray, habit: np.ndarray, s:
     return out
 
 
-def exact_cases(values: np.ndarray, series: np.ndarray, habit: np.ndarray, suspect: np.ndarray, s: ChartSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(impossible, frozen, spike)`` by the written rule; ``series`` and ``habit`` are per reading."""
+def exact_cases(values: np.ndarray, whole: np.ndarray, series: np.ndarray, habit: np.ndarray, suspect: np.ndarray, s: ChartSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(impossible, frozen, spike)`` by the written rule; ``whole`` are the readings as integers, ``series`` and ``habit`` are per reading."""
     n = len(values)
     impossible = values <= s.floor
     same = np.zeros(n, dtype=bool)
     if n > 1:
-        same[1:] = (series[1:] == series[:-1]) & (values[1:] == values[:-1])
+        same[1:] = (series[1:] == series[:-1]) & (whole[1:] == whole[:-1])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
     frozen = np.zeros(n, dtype=bool)
     for a, b in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2), axis=1)[:, 0] >= REACH]:
@@ -122,8 +124,8 @@ def exact_cases(values: np.ndarray, series: np.ndarray, habit: np.ndarray, suspe
 
 def _source_habit(rows: pd.DataFrame, measure: str) -> float:
     """Median relative change between successive differing readings above zero of one source."""
-    ok = rows[rows[measure].notna() & (rows[measure] > 0)]
-    v = ok[measure].to_numpy(dtype=float)
+    ok = rows[rows[measure] > 0]
+    v = ok[measure].to_numpy().astype(float)
     r = ok["__pos"].to_numpy()
     if len(v) < 2:
         return np.nan
@@ -150,21 +152,22 @@ def _judge(pdf: pd.DataFrame, fields: list[str], measure: str, s: ChartSettings,
         habit_of = pdf["__src"].map(first).to_numpy(dtype=float)
     found = []
     for f in fields:
-        there = pdf[f].notna().to_numpy()
+        there = (pdf[f] != NOTHING).to_numpy()
         part = pdf[there]
-        v = part[f].to_numpy(dtype=float)
+        whole = part[f].to_numpy()
+        v = whole.astype(float)
         habit = habit_of[there]
         key = part["__pos"].to_numpy() * 1_000_003 + part["chunk"].to_numpy()
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(v) else np.zeros(0, dtype=int)
         series = np.cumsum(np.isin(np.arange(len(v)), starts))
         suspect = chart_suspects(v, starts, habit[starts], s)
-        impossible, frozen, spike = exact_cases(v, series, habit, suspect, s)
+        impossible, frozen, spike = exact_cases(v, whole, series, habit, suspect, s)
         hit = (impossible | frozen | spike) & ~part["halo"].to_numpy()
         if hit.any():
             found.append(
                 pd.DataFrame(
                     {
-                        "row_id": part["row_id"].to_numpy()[hit], "field_name": f, "value": v[hit].astype("int64"),
+                        "row_id": part["row_id"].to_numpy()[hit], "field_name": f, "value": whole[hit],
                         "impossible": impossible[hit], "frozen": frozen[hit], "spike": spike[hit],
                     }
                 )
@@ -219,7 +222,7 @@ def flag_readings(
     """
     slim = rows.select(
         F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{position}`").alias("position"),
-        F.col(f"`{at}`").alias("at"), *[F.col(f"`{f}`").cast("double").alias(f) for f in fields],
+        F.col(f"`{at}`").alias("at"), *[F.col(f"`{f}`").cast("bigint").alias(f) for f in fields],
     ).where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
     sizes = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     # at most total / hot_rows sources can be hot; the bound is checked before they go to the driver
@@ -248,7 +251,8 @@ def _run(df: DataFrame, fields: list[str], measure: str, s: ChartSettings, known
             yield _judge(pdf, fields, measure, s, known_habit)
 
     columns = ["row_id", "source", "position", "at", *fields, "chunk", "halo", "habit"]
-    return ordered.select(*columns).mapInPandas(judge, _OUT)
+    filled = {f: F.coalesce(F.col(f), F.lit(NOTHING).cast("bigint")) for f in fields}
+    return ordered.select(*columns).withColumns(filled).mapInPandas(judge, _OUT)
 
 
 def _chunked(hot: DataFrame, fields: list[str], measure: str, s: ChartSettings) -> DataFrame:

@@ -11,7 +11,7 @@ ALLY_FIT = "CASE WHEN power > 1000000000 THEN 60 ELSE 0 END + CASE WHEN player_n
 VERDICT = "CASE WHEN power IS NULL THEN 'placeholder' WHEN fit >= 60 THEN 'pass' WHEN fit >= 40 THEN 'calibrated_pass' ELSE 'quarantine' END"
 SANITY = (
     "CASE WHEN power IS NULL THEN 'missing' WHEN power <= 0 THEN 'quarantine_nonpositive' WHEN median_power > 0 AND power > 3 * median_power AND rank > 3 THEN 'quarantine_high' "
-    "WHEN median_power > 0 AND power * 5 < median_power THEN 'quarantine_low' WHEN previous_power IS NOT NULL AND power > 1.5 * previous_power THEN 'review_order' ELSE 'pass' END"
+    "WHEN median_power > 0 AND power < median_power / 5e0 THEN 'quarantine_low' WHEN previous_power IS NOT NULL AND power > 1.5 * previous_power THEN 'review_order' ELSE 'pass' END"
 )
 FIDELITY = "CASE WHEN rank_warning IS NOT NULL AND server_warning IS NOT NULL THEN 'high' WHEN rank_warning IS NOT NULL OR server_warning IS NOT NULL OR name IS NULL THEN 'medium' ELSE 'low' END"
 VISIBLE = "CASE WHEN ocr_rank IS NOT NULL AND ocr_rank = rank THEN 'explicit' WHEN ocr_rank IS NOT NULL THEN 'conflict' WHEN rank IS NOT NULL THEN 'derived' ELSE 'source_row_only' END"

@@ -77,8 +77,8 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, score: str) -> DataFra
     taken = None
     while True:
         rank = F.struct(F.col(score).alias("s"), (-F.col(left)).alias("l"), (-F.col(right)).alias("r"))
-        best_left = rest.groupBy(left).agg(F.max(rank).alias("b")).select((-F.col("b.l")).alias(left), (-F.col("b.r")).alias(right))
-        best_right = rest.groupBy(right).agg(F.max(rank).alias("b")).select((-F.col("b.l")).alias(left), (-F.col("b.r")).alias(right))
+        best_left = rest.groupBy(left).agg(F.max(rank).alias("__best")).select((-F.col("__best.l")).alias(left), (-F.col("__best.r")).alias(right))
+        best_right = rest.groupBy(right).agg(F.max(rank).alias("__best")).select((-F.col("__best.l")).alias(left), (-F.col("__best.r")).alias(right))
         won = cut(rest.join(best_left, [left, right], "left_semi").join(best_right, [left, right], "left_semi"))
         taken = won if taken is None else taken.unionByName(won)
         rest = cut(rest.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"))

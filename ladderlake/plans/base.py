@@ -16,6 +16,9 @@ ENTRY_COLUMNS = [
     "power", "hero_power", "alliance_power", "server_confidence", "server_warning", "rank_warning", "raw_text", "y", "captured_at",
 ]
 
+#: Readings from here on are impossible and take no part in standings.
+POWER_LIMIT = 10**15
+
 
 class Frames:
     """Lazily built canonical frames of one folder of tables."""
@@ -50,7 +53,7 @@ class Frames:
 
     def timeline(self, ranking_type: str, entity: str) -> DataFrame:
         """(server, ord, collection, entity, value, rank) of the operational lane, one row per entity and collection."""
-        rows = self.star.where((F.col("ranking_type") == ranking_type) & (F.col("lane") == "operational") & (F.col("power") > 0)).select(
+        rows = self.star.where((F.col("ranking_type") == ranking_type) & (F.col("lane") == "operational") & (F.col("power") > 0) & (F.col("power") < POWER_LIMIT)).select(
             "server", "ord", "collection", F.expr(entity).alias("entity"), "power"
         )
         best = rows.where("entity is not null").groupBy("server", "ord", "collection", "entity").agg(F.max("power").alias("value"))
@@ -72,10 +75,10 @@ ent AS (SELECT DISTINCT """ + ", ".join(ENTRY_COLUMNS) + """ FROM ranking_rows),
 star AS (SELECT ent.*, snap.collection_id, snap.status AS snapshot_status, coll.name AS collection, coll.type AS collection_type, coll.ord
   FROM ent JOIN snap ON ent.snapshot_id = snap.id JOIN coll ON snap.collection_id = coll.id),
 ally0 AS (SELECT server, ord, collection, coalesce(alliance_tag, name) AS entity, max(power) AS value FROM star
-  WHERE ranking_type = 'alliance_power' AND lane = 'operational' AND power > 0 AND coalesce(alliance_tag, name) IS NOT NULL GROUP BY ALL),
+  WHERE ranking_type = 'alliance_power' AND lane = 'operational' AND power > 0 AND power < 1000000000000000 AND coalesce(alliance_tag, name) IS NOT NULL GROUP BY ALL),
 ally AS (SELECT *, row_number() OVER (PARTITION BY server, ord ORDER BY value DESC, entity) AS rank FROM ally0),
 hero0 AS (SELECT server, ord, collection, player_name AS entity, max(power) AS value FROM star
-  WHERE ranking_type = 'total_hero_power' AND lane = 'operational' AND power > 0 AND player_name IS NOT NULL GROUP BY ALL),
+  WHERE ranking_type = 'total_hero_power' AND lane = 'operational' AND power > 0 AND power < 1000000000000000 AND player_name IS NOT NULL GROUP BY ALL),
 hero AS (SELECT *, row_number() OVER (PARTITION BY server, ord ORDER BY value DESC, entity) AS rank FROM hero0)
 """
 

@@ -132,8 +132,8 @@ add("pending_rank_gap", lambda f: f.entries.where("ocr_rank is not null").withCo
 add("power_order_vs_slot", lambda f: f.entries.where("power is not null").withColumn("by_power", F.row_number().over(W.partitionBy("snapshot_id", "source_file").orderBy(F.desc("power"), "row_id")))
     .withColumn("by_rank", F.row_number().over(W.partitionBy("snapshot_id", "source_file").orderBy("rank", "row_id"))).where("by_power <> by_rank").select("row_id", "by_power", "by_rank"),
     "SELECT row_id, row_number() OVER (PARTITION BY snapshot_id, source_file ORDER BY power DESC, row_id) AS by_power, row_number() OVER (PARTITION BY snapshot_id, source_file ORDER BY rank, row_id) AS by_rank FROM ent WHERE power IS NOT NULL QUALIFY by_power <> by_rank")
-add("source_median", lambda f: f.entries.where("power is not null").groupBy("snapshot_id", "source_file").agg(F.median("power").cast("bigint").alias("median_power")),
-    "SELECT snapshot_id, source_file, CAST(trunc(median(power)) AS BIGINT) AS median_power FROM ent WHERE power IS NOT NULL GROUP BY ALL")
+add("source_median", lambda f: f.entries.where("power < 1000000000000000").groupBy("snapshot_id", "source_file").agg(F.median("power").cast("bigint").alias("median_power")),
+    "SELECT snapshot_id, source_file, CAST(trunc(median(power)) AS BIGINT) AS median_power FROM ent WHERE power < 1000000000000000 GROUP BY ALL")
 add("source_index", lambda f: f.entries.select("snapshot_id", "ranking_type", "source_file").distinct().withColumn("source_index", F.dense_rank().over(W.partitionBy("snapshot_id", "ranking_type").orderBy("source_file"))),
     "SELECT DISTINCT snapshot_id, ranking_type, source_file, dense_rank() OVER (PARTITION BY snapshot_id, ranking_type ORDER BY source_file) AS source_index FROM ent")
 _ANCHOR = "0.30 + 0.16 * (CASE WHEN gap_rows = 1 THEN 1.0 ELSE 0.5 END) + 0.30 * (CASE WHEN bounded THEN 1.0 ELSE 0.0 END) + 0.14 * (CASE WHEN gap_rows <= 3 THEN 1.0 ELSE 0.0 END) + 0.10"
