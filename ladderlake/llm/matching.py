@@ -26,7 +26,7 @@ from ladderlake.session import cut
 
 K1, B = 1.2, 0.3
 #: Tokens of a query whose postings give the first bound on its k-th best score.
-SEEDS = 4
+SEEDS = 6
 #: Neighbours of a record that the mutual test and the exact check look at: a
 #: second account with the same tag may stand before the right one.
 NEAR = 4
@@ -65,7 +65,7 @@ def _tokens(skel: Column, tag: Column, power: Column) -> Column:
     )
     digits = F.when(power > 0, power.cast("bigint").cast("string"))
     size = F.when(power > 0, F.when(power < 1_000_000, power * 1000).otherwise(power))
-    bucket = F.floor(F.log(size) * 25)
+    bucket = F.floor(F.log(size) * 40)
     extra = F.array(
         F.when(F.length(body) > 0, F.concat(F.lit("w:"), body)),
         F.when(tag.isNotNull(), F.concat(F.lit("t:"), F.lower(tag))),
