@@ -160,9 +160,8 @@ def lookalike_pairs(entities: DataFrame, rows: DataFrame, bigrams: Mapping[str,
     without any visible character, match nothing; rows that repeat an id count
     once; further columns are ignored; empty inputs give no rows.
 
-    Nearly all names are their own canonical form.  A pair needs one odd name
-    at least, so plain rows only meet odd entities; both joins are salted by
-    row, as one name may hold a third of all rows.
+    Every row is read and brought to its form once; the join is salted by row,
+    as one name may hold a third of all rows.
     """
     e = entities.select(F.col("id").alias("low_id"), "kind", F.col("name").alias("raw")).distinct()
     e = e.withColumn("form", canonical_column(F.col("raw"), bigrams)).where("form <> ''")
@@ -171,9 +170,7 @@ def lookalike_pairs(entities: DataFrame, rows: DataFrame, bigrams: Mapping[str,
     r = r.withColumn("salt", F.pmod(F.xxhash64("high_id"), F.lit(salts)).cast("int"))
     se = e.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = ["kind", "form", "salt"]
-    odd_rows = r.where("raw2 <> form").join(se, on).where("raw <> raw2")
-    plain_rows = r.where("raw2 = form").join(se.where("raw <> form"), on)
-    with_rows = odd_rows.select("low_id", "high_id").unionByName(plain_rows.select("low_id", "high_id"))
+    with_rows = r.join(se, on).where("raw <> raw2").select("low_id", "high_id")
     other = e.select("kind", "form", F.col("low_id").alias("high_id"), F.col("raw").alias("raw2"))
     odd = e.where("raw <> form")
     pairs = odd.join(other, ["kind", "form"]).where("raw <> raw2 and low_id <> high_id")
