@@ -69,6 +69,28 @@ def compare_power(expected: Column, actual: Column) -> Column:
     )
 
 
+#: Width of the logarithmic buckets of powers: a little above a relative difference of 0.005.
+REPAIR_WIDTH = 0.006
+
+
+def power_repairs(power: Column) -> Column:
+    """What a power of 7 or 8 digits may have been: ten times it, or with a zero put into each gap; empty for others."""
+    digits = power.cast("string")
+    whole = lambda i: F.when(i == 0, power * 10).otherwise(F.concat(F.substring(digits, F.lit(1), i), F.lit("0"), F.substring(digits, i + 1, F.lit(20))).cast("bigint"))
+    return F.when(F.length(digits).between(7, 8), F.transform(F.sequence(F.lit(0), F.length(digits) - 1), whole)).otherwise(F.array().cast("array<bigint>"))
+
+
+def power_evidence(expected: Column, actual: Column, near: float) -> Column:
+    """(kind, similarity) of two positive powers: exact, near, or the closest repair within 0.005, the first of equals; else null."""
+    off = lambda c: F.abs(expected - c) / F.greatest(expected, c)
+    best = F.array_min(F.transform(power_repairs(actual), lambda c, i: F.struct(off(c).alias("d"), i.alias("i"))))
+    found = lambda kind, similarity: F.struct(kind.alias("kind"), similarity.alias("similarity"))
+    return (
+        F.when(expected == actual, found(F.lit("exact"), F.lit(1.0))).when(off(actual) <= near, found(F.lit("near"), 1 - off(actual)))
+        .when(best["d"] <= 0.005, found(F.when(best["i"] == 0, "scale_x10_truncated_digit").otherwise("insert_zero"), 1 - best["d"]))
+    )
+
+
 def name_category(c: Column) -> Column:
     """Scripts of a name: one of them alone, or a mixture with Latin letters."""
     has = {s: F.coalesce(c.rlike(p), F.lit(False)) for s, p in (("latin", "[A-Za-zÀ-ɏ]"), ("hangul", "[가-힣]"), ("kana", "[぀-ヿ]"), ("cjk", "[一-鿿]"), ("cyrillic", "[Ѐ-ӿ]"))}

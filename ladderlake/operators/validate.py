@@ -65,6 +65,43 @@ def metrics(details: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "truth_rows", "matched", "good", "precision", "recall", f1.alias("f1"), score.alias("score"))
 
 
+def power_pairs(truth: DataFrame, seen: DataFrame, near: float, keys: list[str]) -> DataFrame:
+    """Every pair equal in ``keys`` whose powers are equal, within ``near``, or within 0.005 after a repair of the seen one; each once.
+
+    Adds ``kind`` and ``p`` (similarity of the powers), ``n`` (of the names) and
+    ``a`` (equal tags; two missing tags are no evidence).  Columns of the two
+    sides begin with t_ and s_.  A repair is about ten times the power as read,
+    so no pair meets both ways.
+    """
+    bucket = lambda c, width: F.floor(F.log(c) / width)
+    key = lambda way, b: F.struct(F.lit(way).alias("way"), b.alias("b"))
+    close, power = near * 1.2, F.col("power")
+    around = F.array_distinct(F.flatten(F.transform(tx.power_repairs(power), lambda c: F.array(*[bucket(c, tx.REPAIR_WIDTH) + d for d in (-1, 0, 1)]))))
+    side = lambda df, letter, at: df.where("power > 0").select(*[c if c in keys else F.col(c).alias(c if c.endswith("_id") else f"{letter}_{c}") for c in df.columns], F.explode(at).alias("k"))
+    t = side(truth, "t", F.array(*[key("read", bucket(power, close) + d) for d in (-1, 0, 1)], key("repaired", bucket(power, tx.REPAIR_WIDTH))))
+    s = side(seen, "s", F.concat(F.array(key("read", bucket(power, close))), F.transform(around, lambda b: key("repaired", b))))
+    met = t.join(s, [*keys, "k"]).drop("k").withColumn("e", tx.power_evidence(F.col("t_power"), F.col("s_power"), near)).where("e is not null")
+    met = met.select("*", F.col("e.kind").alias("kind"), F.col("e.similarity").alias("p")).drop("e")
+    return met.withColumns({"n": tx.ratio(tx.identity_key("t_name"), tx.identity_key("s_name")), "a": F.coalesce(F.lower("t_tag") == F.lower("s_tag"), F.lit(False))})
+
+
+def evidence_candidates(truth: DataFrame, seen: DataFrame) -> DataFrame:
+    """(truth_id, seen_id, score, kind): the only row of the server with the same power, else the best like one.
+
+    Like rows have a near or repaired power and a similar name or the same tag;
+    the best must score 0.72 and lead the next by 0.05.
+    """
+    apart = F.abs(F.col("t_place") - F.col("s_place"))
+    r = F.when(apart == 0, 1.0).when(apart <= 3, 0.65).when(apart <= 10, 0.25).otherwise(0.0)
+    weight = F.when(F.col("kind") == "exact", 0.72).otherwise(0.62)
+    scored = power_pairs(truth, seen, 0.00005, ["server"]).withColumn("score", F.round(F.col("p") * weight + F.col("n") * 0.18 + F.col("a").cast("double") * 0.07 + r * 0.03, 4))
+    of_one = W.partitionBy("truth_id")
+    kept = scored.withColumn("exacts", F.count_if(F.col("kind") == "exact").over(of_one)).where("CASE WHEN exacts = 1 THEN kind = 'exact' ELSE kind <> 'exact' AND (n >= 0.55 OR a) END")
+    w = of_one.orderBy(F.desc("score"), "seen_id")
+    top = kept.withColumns({"first": F.row_number().over(w), "lead": F.round(F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)), 4)})
+    return top.where("first = 1 AND score >= 0.72 AND lead >= 0.05").select("truth_id", "seen_id", "score", "kind")
+
+
 def greedy_pairs(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """One-to-one assignment by descending score, ties by the two ids.
 

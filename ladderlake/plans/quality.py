@@ -161,7 +161,7 @@ add("snapshot_lifecycle", lambda f: f.snapshots.select("id", F.expr("CASE lower(
 
 # --- similarity joins and text functions -------------------------------------
 add("seq_candidate_join", lambda f: _similar(f).where("agrees").withColumn("score", F.round(0.56 * F.col("p") + 0.29 * F.col("n") + 0.15 * F.col("a").cast("double"), 4)).where("score >= 0.78").groupBy("truth_id").agg(F.max(F.struct("score", (-F.col("seen_id")).alias("m"))).alias("b")).select("truth_id", (-F.col("b.m")).alias("seen_id"), F.col("b.score").alias("score")))
-add("evidence_candidate_join", lambda f: _similar(f).where("exact").withColumn("rivals", F.count("*").over(W.partitionBy("truth_id"))).where("rivals = 1").select("truth_id", "seen_id", F.round(0.72 + 0.18 * F.col("n") + 0.10 * F.col("a").cast("double"), 4).alias("score")))
+add("evidence_candidate_join", lambda f: va.evidence_candidates(truth(f), seen(f)).select("truth_id", "seen_id", "score"))
 add("name_similarity", lambda f: _similar(f).select("truth_id", "seen_id", "n"))
 add("player_identity", lambda f: _identity(f).where("score >= 70").select("truth_id", "seen_id", "score", F.expr("CASE WHEN score >= 85 THEN 'match' ELSE 'possible' END").alias("label")))
 add("snapshot_match", lambda f: _greedy(f))

@@ -153,3 +153,26 @@ def test_stream_equals_batch(spark, tmp_path):
     query = pipelines.stream_table(spark, source, schema).writeStream.foreachBatch(pipelines.upsert_writer(sink, ["event_id"], "value")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {r["value"] for r in spark.read.parquet(f"{sink}/g1").collect()} == {max(v for i, _, _, v in rows if i == e) for e in range(40)}
+
+
+SIDE = "server int, name string, tag string, power bigint, place int"
+
+
+def test_evidence_finds_rounded_and_repaired_powers_with_a_margin(spark):
+    truth = spark.createDataFrame(
+        [
+            (1, 551, "Lora", "PbC", 416693161, 1), (2, 551, "Mena", "PbC", 320306014, 2), (3, 551, "Tarori", None, 239561010, 3), (4, 551, "Kobu", "IVE", 250009089, 4),
+            (5, 551, "Twin", "PWW", 200000000, 5), (6, 551, "Alone", "AAA", 190000000, 6), (7, 551, "Shared", "PWW", 180000000, 7),
+        ],
+        "truth_id bigint, " + SIDE,
+    )
+    seen = spark.createDataFrame(
+        [
+            (11, 551, "?", None, 416693161, 1), (12, 551, "Mena", "PbC", 320310000, 2), (13, 551, "Tar0ri", None, 23956101, 3), (14, 551, "Kobu", "IVE", 25009089, 4),
+            (15, 551, "Twin", "PWW", 200001000, 5), (16, 551, "Twin", "PWW", 200001001, 6), (17, 551, "Other", "BBB", 190001000, 7), (18, 551, "Shared", "PWW", 180001000, 8),
+            (19, 551, "Shared", "PWW", 180000000, 9), (20, 551, "Shared", "PWW", 180000000, 10), (21, 552, "Mena", "PbC", 320306014, 2),
+        ],
+        "seen_id bigint, " + SIDE,
+    )
+    got = {r["truth_id"]: (r["seen_id"], r["kind"]) for r in validate.evidence_candidates(truth, seen).collect()}
+    assert got == {1: (11, "exact"), 2: (12, "near"), 3: (13, "scale_x10_truncated_digit"), 4: (14, "insert_zero"), 7: (18, "near")}
