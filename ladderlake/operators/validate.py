@@ -65,6 +65,35 @@ def metrics(details: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "truth_rows", "matched", "good", "precision", "recall", f1.alias("f1"), score.alias("score"))
 
 
+def normalize_tags(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(server, tag, known, state, score) of every distinct tag against the known tags of its server, without case.
+
+    exact; else the best of: one edit (at least .92), a subsequence of a known
+    tag of three letters (at least .88), a ratio of .82 for tags of three
+    letters, named edit, subsequence or ratio, if it is the only one or leads by
+    .12.  ambiguous: it does not lead; unmatched: nothing is like it; known is
+    null for both.  Known tags that differ in case alone are one, the smallest.
+    """
+    known = vocabulary.where("known is not null").groupBy("server", F.lower("known").alias("k")).agg(F.min("known").alias("known")).where("length(k) >= 2")
+    asked = tags.where("tag is not null").select("server", "tag", F.lower("tag").alias("t")).distinct()
+    same = F.col("t") == F.col("k")
+    scored = asked.join(known, "server").withColumn("r", F.when(same, F.lit(1.0)).otherwise(tx.ratio("t", "k")))
+    letter = lambda acc, c: F.when((acc < F.length("t")) & (F.substring(F.col("t"), acc + 1, F.lit(1)) == c), acc + 1).otherwise(acc)
+    inside = F.aggregate(F.split("k", ""), F.lit(0), letter) == F.length("t")
+    state = (
+        F.when(same, "exact").when(F.levenshtein("t", "k", 1) >= 0, "edit").when((F.length("t") >= 2) & (F.length("k") >= 3) & inside, "subsequence")
+        .when((F.length("t") >= 3) & (F.col("r") >= 0.82), "ratio")
+    )
+    near = scored.withColumn("state", state).where("state is not null").withColumn("score", F.expr("greatest(r, CASE state WHEN 'edit' THEN 0.92D WHEN 'subsequence' THEN 0.88D ELSE 0D END)"))
+    w = W.partitionBy("server", "tag").orderBy(F.desc(F.col("state") == "exact"), F.desc("score"), "known")
+    top = near.withColumns({"first": F.row_number().over(w), "lead": F.round(F.col("score") - F.lead("score").over(w), 4)}).where("first = 1")
+    clear = (F.col("state") == "exact") | F.col("lead").isNull() | (F.col("lead") >= 0.12)
+    best = top.select("server", "tag", F.when(clear, F.col("known")).alias("known"), F.when(clear, F.col("state")).otherwise("ambiguous").alias("state"), "score")
+    every = asked.select(F.col("server").alias("s"), F.col("tag").alias("g"))
+    out = every.join(best, F.col("s").eqNullSafe(F.col("server")) & (F.col("g") == F.col("tag")), "left")
+    return out.select(F.col("s").alias("server"), F.col("g").alias("tag"), "known", F.coalesce("state", F.lit("unmatched")).alias("state"), "score")
+
+
 def power_pairs(truth: DataFrame, seen: DataFrame, near: float, keys: list[str]) -> DataFrame:
     """Every pair equal in ``keys`` whose powers are equal, within ``near``, or within 0.005 after a repair of the seen one; each once.
 

@@ -202,12 +202,9 @@ def _greedy(f: Frames):
 
 
 def _vocabulary(f: Frames):
-    """Misread tags against the tags of their server: equal, or one edit away if only one is."""
-    vocabulary = f.t("sheet_players").where("alliance is not null").select("server", F.col("alliance").alias("known")).distinct()
-    tags = f.t("player_rankings").where("alliance_tag is not null").select("server", F.col("alliance_tag").alias("tag")).distinct()
-    near = tags.join(vocabulary, "server").withColumn("d", F.levenshtein(F.lower("tag"), F.lower("known"), 1)).where("d >= 0")
-    best = near.groupBy("server", "tag").agg(F.min(F.struct("d", "known")).alias("b"), F.count_if(F.col("d") == 1).alias("rivals"))
-    return best.select("server", "tag", F.col("b.known").alias("known"), F.expr("CASE WHEN b.d = 0 THEN 'exact' WHEN rivals = 1 THEN 'edit' ELSE 'ambiguous' END").alias("state"))
+    vocabulary = f.t("sheet_players").select("server", F.col("alliance").alias("known"))
+    tags = f.t("player_rankings").select("server", F.col("alliance_tag").alias("tag"))
+    return va.normalize_tags(tags, vocabulary).select("server", "tag", "known", "state")
 
 
 QUERIES, SQL = B.queries, B.sql

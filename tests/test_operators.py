@@ -176,3 +176,13 @@ def test_evidence_finds_rounded_and_repaired_powers_with_a_margin(spark):
     )
     got = {r["truth_id"]: (r["seen_id"], r["kind"]) for r in validate.evidence_candidates(truth, seen).collect()}
     assert got == {1: (11, "exact"), 2: (12, "near"), 3: (13, "scale_x10_truncated_digit"), 4: (14, "insert_zero"), 7: (18, "near")}
+
+
+def test_tags_are_normalized_by_tiers_and_unmatched_ones_stay(spark):
+    known = spark.createDataFrame([(1, k) for k in ("PbC", "WXYZQ", "abcdefgh")] + [(2, "IVE"), (2, "IVA")], "server int, known string")
+    tags = spark.createDataFrame([(1, t) for t in ("pbc", "PC", "WYQ", "abcdxygh", "abcdexfygh", "kkk")] + [(2, "IV"), (2, "IVE"), (3, "PbC"), (None, "PbC"), (1, None)], "server int, tag string")
+    got = {(r["server"], r["tag"]): (r["known"], r["state"]) for r in validate.normalize_tags(tags, known).collect()}
+    assert got == {
+        (1, "pbc"): ("PbC", "exact"), (1, "PC"): ("PbC", "edit"), (1, "WYQ"): ("WXYZQ", "subsequence"), (1, "abcdxygh"): (None, "unmatched"), (1, "abcdexfygh"): ("abcdefgh", "ratio"),
+        (1, "kkk"): (None, "unmatched"), (2, "IV"): (None, "ambiguous"), (2, "IVE"): ("IVE", "exact"), (3, "PbC"): (None, "unmatched"), (None, "PbC"): (None, "unmatched"),
+    }
