@@ -2,7 +2,8 @@
 
 One pass of an Aho-Corasick automaton over a text finds anchors: at-signs and
 their spelled-out forms, plus signs, cue words for telephone and identity
-numbers, street words, and the names of the gazetteer.  At each anchor a
+numbers, brackets and double zeros, street words, titles and other words before
+a name, and the names of the gazetteer.  At each anchor a
 deterministic local parser expands to both sides and validates what it found.
 """
 
@@ -43,8 +44,17 @@ STREET_AFTER = ("Road", "Street", "Lane", "Avenue", "Close", "Rd", "St.", "Ave",
 STREET_INSIDE = ("straße", "strasse", "weg ", "gasse ", "platz ", "stieg ", "Allee ", "Straße", "allee ", "damm ", "ring ")
 STREET_BEFORE = ("rue ", "avenue ", "chemin ", "boulevard ", "place ", "allée ", "quai ", "C/ ", "Calle ", "Avda. ", "Plaza ")
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "xlsx", "json", "csv", "txt", "pdf"}
-#: Digits of a whole number by country code, where that is fixed.
+# Titles and other words after which a name stands that need not be in the gazetteer.
+NAME_CUES = (
+    "Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Professor", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra",
+    "Don", "Doña", "Contact", "contact", "Kontakt", "Contacto", "signed by", "Signed by", "name is", "Name:", "firmó", "firmado por", "signé par", "실명은", "이름은",
+)
+# Words after which an initial with a capitalised word is a name; two capitalised words may be a nickname there.
+INITIAL_CUES = ("by", "to", "from", "with", "and", "de", "à", "par", "et", "von", "mit", "und", "por", "para", "con")
+#: Usual digits of a whole number by country code.
 DIGITS_BY_COUNTRY = {"1": 11, "44": 12, "49": 12, "33": 11, "34": 11}
+#: Fewest and most digits, country code and all, where a country's numbers differ in length.
+DIGITS_RANGE = {"44": (9, 12), "49": (8, 13)}
 
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[\w.+%\-]*[\w])?\Z", re.A)
 _DOMAIN = re.compile(r" ?([A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+)", re.A)
@@ -52,6 +62,7 @@ _NATIONAL = re.compile(
     r"\(\d{3}\) ?\d{3}[ -]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|00\d{2}(?:[  ]?\d{2,5}){2,4}|0\d{4}[  ]\d{6}|0\d{2}[  ]\d{4}[  ]\d{4}"
     r"|0\d{1,4}/\d{3,8}(?:-\d{1,5})?|0\d(?:[.  ]\d{2}){4}|0\d{9,10}"
 )
+_BRACKET = re.compile(r"\(\d{2,5}\)[ \xa0]?\d{2,8}(?:[ \xa0-]\d{2,6}){0,3}(?![\w/:]|[.,-]\d)", re.A)
 _NUMBER_START = re.compile(r"[\s:.# ]{0,3}(?=[+(\d])")
 _ID = re.compile(
     r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{8}-\d{4}|\d{8}[A-Z]"
@@ -80,6 +91,13 @@ _INITIALS = r"(?:[A-ZÀ-Þ]\. ?){1,2}"
 _FAMILY_FIRST = re.compile(rf"{_F}(?:-{_F})?, {_G}(?: [A-Z]\.)?(?![\w@])")
 _GIVEN_FIRST = re.compile(rf"{_G}(?: [A-ZÀ-Þ]\.){{0,2}} {_F}(?:-{_F})?(?![\w@])")
 _INITIAL_FIRST = re.compile(rf"{_INITIALS}{_F}(?:-{_F})?(?![\w@])")
+# names outside the gazetteer: capitalised words, a third one only before a mark that ends it
+_WORD = r"(?:(?:O['’]|D['’]|Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]{2,})"
+_LAST = rf"(?:(?:de|del|la|du|di|da|van|von|der|den|ter) ){{0,2}}{_WORD}(?:-{_WORD})?"
+_INITIAL_LAST = rf"(?:[A-ZÀ-Þ]\. ?){{1,2}}{_LAST}"
+_FREE_NAME = re.compile(rf"(?:{_WORD}(?:-{_WORD})?(?: [A-ZÀ-Þ]\.){{0,2}} {_LAST}(?: {_WORD}(?=[.,;:!?)<\n]|\Z))?|{_INITIAL_LAST})(?![\w@])")
+_FREE_INITIAL = re.compile(rf"{_INITIAL_LAST}(?![\w@])")
+_NAME_START = re.compile(r"[.:]? {1,2}|: ?")
 _INITIAL_HEAD = re.compile(r"(?<![\w.])(?:[A-ZÀ-Þ]\. ?){1,2}\Z")
 
 
@@ -94,6 +112,10 @@ def _automaton() -> ahocorasick.Automaton:
     put(["@", "(at)", "[at]", "＠", "(AT)", "[AT]"], "at")
     put([" dot "], "dot")
     put(["+"], "plus")
+    put(["("], "bracket")
+    put(["00"], "zeros")
+    put(NAME_CUES, "name")
+    put(INITIAL_CUES, "initial")
     put(PHONE_CUES, "phone")
     put(ID_CUES, "id")
     put(STREET_AFTER, "street_after")
@@ -132,30 +154,75 @@ def _spelled_email(t: str, dot: int) -> tuple[int, int] | None:
     return (head.start(), tail.end()) if head and tail else None
 
 
-def _international(t: str, plus: int) -> tuple[int, int] | None:
-    """A number from its plus sign; ends at a group's end with the country's number of digits."""
-    if plus and (t[plus - 1].isalnum() or t[plus - 1] in "._-"):
+def _international(t: str, start: int, lead: int = 1) -> tuple[int, int] | None:
+    """A number from its plus sign or, with ``lead`` 2, its double zero.
+
+    It ends at a group's end with the country's usual number of digits, else at
+    the last one within what the country has; a bracketed trunk zero does not count.
+    """
+    if start and (t[start - 1].isalnum() or t[start - 1] in "._-"):
         return None
-    i, digits, ends = plus + 1, "", []
+    i, digits, ends = start + lead, "", []
     while i < len(t):
         c = t[i]
+        if t.startswith("(0)", i) and 0 < len(digits) <= 3:
+            i += 3
+            continue
         if c.isdigit() and c.isascii():
             digits += c
             if i + 1 == len(t) or not (t[i + 1].isdigit() or t[i + 1].isalpha()):
                 ends.append((len(digits), i + 1))
-        elif not (c in "  .-/()" and digits and (t[i - 1].isdigit() or c in "( " and t[i - 1] in ") " or t[i - 1] == ")")):
+        elif not (c in " \xa0.-/()" and digits and (t[i - 1].isdigit() or c in "( " and t[i - 1] in ") " or t[i - 1] == ")")):
             break
         elif c == " " and t[i - 1] == " ":
             break
         i += 1
         if len(digits) > 15:
             break
-    want = next((n for cc, n in DIGITS_BY_COUNTRY.items() if digits.startswith(cc)), None)
-    if want:
-        exact = [e for n, e in ends if n == want]
-        return (plus, exact[0]) if exact else None
-    fit = [e for n, e in ends if 8 <= n <= 15]
-    return (plus, fit[-1]) if fit else None
+    country = next((cc for cc in DIGITS_BY_COUNTRY if digits.startswith(cc)), None)
+    if country:
+        exact = [e for n, e in ends if n == DIGITS_BY_COUNTRY[country]]
+        if exact:
+            return start, exact[0]
+        if country not in DIGITS_RANGE:
+            return None
+    least, most = DIGITS_RANGE.get(country, (8, 15))
+    fit = [e for n, e in ends if least <= n <= most]
+    return (start, fit[-1]) if fit else None
+
+
+def _zeros(t: str, start: int) -> tuple[int, int] | None:
+    """A number that begins with a double zero, in groups unless its country is one of the known."""
+    if start and t[start - 1] in ",:/+" or t[start + 2 : start + 3] not in tuple("123456789"):
+        return None
+    span = _international(t, start, 2)
+    if not span or not (t.startswith(tuple(DIGITS_BY_COUNTRY), start + 2) or re.search(r"[ \xa0./-]", t[start : span[1]])):
+        return None
+    return span
+
+
+def _bracketed(t: str, start: int) -> tuple[int, int] | None:
+    """A number whose area code stands in brackets, nine to twelve digits in all."""
+    if not t[start + 1 : start + 2].isdigit() or start and (t[start - 1].isalnum() or t[start - 1] in ")]"):
+        return None
+    m = _BRACKET.match(t, start)
+    return m.span() if m and 9 <= sum(c.isdigit() for c in m[0]) <= 12 else None
+
+
+def _free_name(t: str, start: int, end: int, form: re.Pattern = _FREE_NAME) -> tuple[int, int] | None:
+    """The capitalised name after a title or another word that announces it; names of the gazetteer are left to its parser."""
+    if start and t[start - 1].isalnum():
+        return None
+    lead = _NAME_START.match(t, end)
+    if not lead:
+        return None
+    at = lead.end()
+    if _GIVEN_FIRST.match(t, at) or _INITIAL_FIRST.match(t, at) or _FAMILY_FIRST.match(t, at):
+        return None
+    m = form.match(t, at)
+    if not m or set(re.split(r"[ .]+", m[0])) & set(NAME_CUES):
+        return None
+    return m.span()
 
 
 def _phone_after(t: str, end: int) -> tuple[int, int] | None:
@@ -259,6 +326,14 @@ def find_personal(text: str | None) -> list[tuple[str, int, int]]:
                 span, name = _spelled_email(text, start), "email"
             elif kind == "plus":
                 span, name = _international(text, start), "phone"
+            elif kind == "bracket":
+                span, name = _bracketed(text, start), "phone"
+            elif kind == "zeros":
+                span, name = _zeros(text, start), "phone"
+            elif kind == "name":
+                span, name = _free_name(text, start, end), "person"
+            elif kind == "initial":
+                span, name = _free_name(text, start, end, _FREE_INITIAL), "person"
             elif kind == "phone":
                 span = _phone_after(text, end)
             elif kind == "id":

@@ -235,6 +235,19 @@ def test_places(text, found):
     assert [f"{k}:{text[a:b]}" for k, a, b in personal.find_personal(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("or (202) 555 0186, evenings", ["phone:(202) 555 0186"]), ("write 0044 7700 900 243 today", ["phone:0044 7700 900 243"]), ("or +49 30 1234567.", ["phone:+49 30 1234567"]),
+        ("or +44 (0)20 7946 0958.", ["phone:+44 (0)20 7946 0958"]), ("at 10:00 12345678 rows, 1.00 49301234567, Tessel 00917 and", []), ("rows (2024) 12 and (551) 416693161-2/3", []),
+        ("Mrs Anna Schmidt signed", ["person:Anna Schmidt"]), ("Contact: J. van Dyke", ["person:J. van Dyke"]), ("Contact: J. Miller-Hart, late", ["person:J. Miller-Hart"]), ("Dr. Ludwig van Moor's list", ["person:Ludwig van Moor"]),
+        ("reported by K. Tanaka today", ["person:K. Tanaka"]), ("Thanks to Miru Lade for it", []), ("Mr Jean Paul Sartre, late", ["person:Jean Paul Sartre"]), ("Madame, Monsieur Le Roux", ["person:Le Roux"]),
+    ],
+)
+def test_places_outside_the_lists(text, found):
+    assert [f"{k}:{text[a:b]}" for k, a, b in personal.find_personal(text)] == found
+
+
 def test_redaction_and_long_texts(spark):
     long = "The list is late. " * 200_000 + "mail: a1@example.org"
     docs = spark.createDataFrame([(1, "꿈 Call +34 600 000 630 or a1@example.org", 9), (2, None, 9), (3, long, 9), (1, "꿈 Call +34 600 000 630 or a1@example.org", 9)], "doc_id bigint, text string, start_at int")
