@@ -27,9 +27,11 @@ from ladderlake.session import cut
 K1, B = 1.2, 0.3
 #: Tokens of a query whose postings give the first bound on its k-th best score.
 SEEDS = 6
-#: Neighbours of a record that the mutual test and the exact check look at: a
-#: second account with the same tag may stand before the right one.
-NEAR = 4
+#: Neighbours of a record that the mutual test and the exact check look at first: a
+#: second account with the same tag may stand before the right one.  Records
+#: without a verified partner look at GROW times as many, as long as the
+#: last one looked at has at least CLOSE of the first one's score.
+NEAR, GROW, CLOSE = 4, 4, 0.4
 #: Queries whose top pair is labelled to fit the calibration; the bound keeps the driver's part fixed.
 CALIBRATION_ROWS = 4_000
 # Characters that screen reading confuses, and the one they are read as here.
@@ -244,42 +246,67 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     records whose scope is null are searched for in all scopes and need agreeing
     powers or tags; a null name is compared by the other attributes and never
     verified, so it matches nothing; repeated ids count once; empty sides give
-    no rows.  Records that are equal in all attributes are searched once.
+    no rows.  Records that are equal in all attributes are searched once; on the
+    right side the smallest id stands for them.
     """
     left, right = cut(left), cut(right)
     same = ["scope", "name", "tag", "power"]
     twins = left.groupBy(*same).agg(F.min("id").alias("rep"))
     reps = cut(left.join(twins.select(F.col("rep").alias("id")), "id", "left_semi"))
     scoped, free = reps.where("scope is not null"), reps.where("scope is null")
+    equal = right.groupBy(*same).agg(F.min("id").alias("id")).select("id")
+    right = cut(right.join(equal, "id", "left_semi"))
     parts = cut(postings(right))
+    back_parts = cut(postings(scoped))
     onto = cut(nearest(scoped, parts, NEAR))
-    back = nearest(right.where("scope is not null"), cut(postings(scoped)), NEAR).select(F.col("query").alias("id"), F.col("id").alias("query"), F.col("place").alias("back_place"), F.col("share").alias("back_share"))
-    best_back = W.partitionBy("id")
-    back = back.withColumn("lead_share", F.max("back_share").over(best_back))
-    mutual = onto.join(back, ["query", "id"]).withColumn("mutual", (F.col("back_place") == 1) | (F.col("back_share") >= 0.4 * F.col("lead_share")))
     weights = calibration(onto, scoped, right, parts)
     cols = ["query", "id", "place", "share", "gap"]
-    pairs = mutual.where("mutual").select(*cols, F.lit(True).alias("scoped"))
+    side = lambda df, p, key: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("skel", "tag", "power")])
+
+    def mutual(onto: DataFrame, k: int) -> DataFrame:
+        named = right.where("scope is not null")
+        back = nearest(named if k == NEAR else named.join(onto.select("id").distinct(), "id", "left_semi"), back_parts, k)
+        back = back.select(F.col("query").alias("id"), F.col("id").alias("query"), F.col("place").alias("back_place"), F.col("share").alias("back_share"))
+        back = back.withColumn("lead_share", F.max("back_share").over(W.partitionBy("id")))
+        return onto.join(back, ["query", "id"]).where((F.col("back_place") == 1) | (F.col("back_share") >= CLOSE * F.col("lead_share"))).select(*cols, F.lit(True).alias("scoped"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        full = exact_check(pairs.join(side(reps, "q", "query"), "query").join(side(right, "d", "id"), "id"))
+        logit = float(weights[0]) * F.col("share") + float(weights[1]) * F.col("gap") + float(weights[2])
+        confidence = F.round(1 / (1 + F.exp(-logit)), 6)
+        tags = F.lower(F.col("q_tag")).eqNullSafe(F.lower(F.col("d_tag"))) & F.col("q_tag").isNotNull()
+        agrees = F.coalesce(F.col("agrees"), F.lit(-1))
+        alike, near = F.col("alike"), F.greatest("q_power", "d_power") / F.least("q_power", "d_power") <= 1.025
+        # the weaker the powers agree, the more alike the names must be or the tags must speak for the pair
+        holds = (
+            ((agrees == 3) & (alike >= 0.35))
+            | ((agrees == 2) & ((alike >= 0.7) | (tags & (alike >= 0.5))))
+            | ((agrees == 1) & ((alike >= 0.86) | ((alike >= 0.7) & (tags | (near & (F.col("confidence") >= 0.05)))) | ((alike >= 0.5) & tags)))
+            | ((agrees == -1) & ~F.col("added") & ((alike >= 0.85) | ((alike >= 0.7) & tags)))
+        )
+        strict = F.col("scoped") | ((F.col("alike") >= 0.8) & ((agrees >= 1) | tags))
+        return full.withColumn("confidence", confidence).where(holds & strict & ((F.col("confidence") >= least) | (agrees >= 1) | tags))
+
+    def found(queries: DataFrame, index: DataFrame, pairs_of, first: DataFrame) -> DataFrame:
+        """Verified pairs; queries that have none look further while what they saw last is close."""
+        k, onto, out = NEAR, first, None
+        while True:
+            won = cut(verified(pairs_of(onto, k)))
+            out = won if out is None else out.unionByName(won)
+            ends = onto.groupBy("query").agg(F.max("place").alias("last"), F.max("share").alias("most"), F.min("share").alias("least"))
+            more = ends.where((F.col("last") >= k) & (F.col("least") >= CLOSE * F.col("most"))).join(won, "query", "left_anti")
+            queries = cut(queries.join(more.select(F.col("query").alias("id")), "id", "left_semi"))
+            if queries.isEmpty():
+                return out
+            k *= GROW
+            onto = cut(nearest(queries, index, k))
+
+    judged = found(scoped, parts, mutual, onto)
     if not free.isEmpty():
         whole = F.lit(0).cast("bigint")
-        anywhere = nearest(free.withColumn("scope", whole), parts.withColumn("scope", whole), 2)
-        pairs = pairs.unionByName(anywhere.where("place = 1").select(*cols, F.lit(False).alias("scoped")))
-    side = lambda df, p, key: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("skel", "tag", "power")])
-    full = exact_check(pairs.join(side(reps, "q", "query"), "query").join(side(right, "d", "id"), "id"))
-    logit = float(weights[0]) * F.col("share") + float(weights[1]) * F.col("gap") + float(weights[2])
-    confidence = F.round(1 / (1 + F.exp(-logit)), 6)
-    tags = F.lower(F.col("q_tag")).eqNullSafe(F.lower(F.col("d_tag"))) & F.col("q_tag").isNotNull()
-    agrees = F.coalesce(F.col("agrees"), F.lit(-1))
-    alike, near = F.col("alike"), F.greatest("q_power", "d_power") / F.least("q_power", "d_power") <= 1.025
-    # the weaker the powers agree, the more alike the names must be or the tags must speak for the pair
-    holds = (
-        ((agrees == 3) & (alike >= 0.35))
-        | ((agrees == 2) & ((alike >= 0.7) | (tags & (alike >= 0.5))))
-        | ((agrees == 1) & ((alike >= 0.86) | ((alike >= 0.7) & (tags | (near & (F.col("confidence") >= 0.05)))) | ((alike >= 0.5) & tags)))
-        | ((agrees == -1) & ~F.col("added") & ((alike >= 0.85) | ((alike >= 0.7) & tags)))
-    )
-    strict = F.col("scoped") | ((F.col("alike") >= 0.8) & ((agrees >= 1) | tags))
-    judged = full.withColumn("confidence", confidence).where(holds & strict & ((F.col("confidence") >= least) | (agrees >= 1) | tags))
+        free, everywhere = free.withColumn("scope", whole), cut(parts.withColumn("scope", whole))
+        anywhere = lambda onto, k: onto.select(*cols, F.lit(False).alias("scoped"))
+        judged = judged.unionByName(found(free, everywhere, anywhere, cut(nearest(free, everywhere, NEAR))))
     # a record of the left side keeps its best verified partner
     w = W.partitionBy("query").orderBy(F.desc("agrees"), F.desc("alike"), F.desc("share"), "id")
     one = judged.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("query").alias("rep"), "id", "confidence", F.round("alike", 6).alias("alike"), "agrees")

@@ -65,6 +65,14 @@ def test_players_match_through_misreadings(spark):
     assert all(0 <= r["confidence"] <= 1 for r in matching.match(left, right).collect())
 
 
+@pytest.mark.parametrize("step", [0, 1_000_000], ids=["copies", "rivals"])
+def test_partners_behind_many_others_are_found(spark, step):
+    left = players(spark, [(1, 551, "Tarori", "ACEv", 292341388), (2, None, "Lurnehipu", "z37M", 511847443)])
+    others = [(10 + i, 551, "Tarori", "ACEv", 150_000_000 + i * step) for i in range(6)] + [(20 + i, 560, "Lurnehipu", "z37M", 150_000_000 + i * step) for i in range(6)]
+    right = players(spark, [*others, (31, 551, "Taro", None, 252341388), (32, 560, "Lumehipu", None, 538000000)])
+    assert {(r["left_id"], r["right_id"]) for r in matching.match(left, right).collect()} == {(1, 31), (2, 32)}
+
+
 def test_matching_with_an_empty_side(spark):
     some, none = players(spark, [(1, 551, "Tarori", "ACEv", 292341388)]), players(spark, [])
     assert matching.match(some, none).count() == 0 and matching.match(none, some).count() == 0
