@@ -1,19 +1,30 @@
 """What changed between full snapshots.
 
-The last snapshot of a board lives as an index from key to hash, bucketed by
-the key.  A new snapshot probes the index; old values are fetched only where
-the hashes differ; then the new index takes the place of the old one.  The
-batch form does this for all neighbouring dates at once: every snapshot's index
-is probed by its successor in one shuffle.
+The last snapshot of every board lives in one index, bucketed and sorted by key:
+key, a 128-bit hash of the values, and the values.  A new snapshot is bucketed in
+the same way and probes the index bucket by bucket without moving it; old values
+are fetched only for keys whose hashes differ; then the delivered boards' new
+entries take the place of their old ones.  A history is driven through the index
+date by date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ladderlake.session import shared_checkpoint_dir
+
 PLACE, VALUE = ("server", "alliance"), ("name", "power")
+STATE = [*PLACE, *VALUE]
+#: Boards whose dates are sent to every task at most; beyond that they are joined by shuffle.
+BROADCAST_BOARDS = 100_000
+HEADS = "board string, generation int, taken_on date, before int, from_date date"
+CHANGES = "board string, from_date date, to_date date, identifier string, difference_type string, payload struct<old: struct<name: string, server: int, alliance: string, power: double>, new: struct<name: string, server: int, alliance: string, power: double>>"
 
 
 def _blank_is_null(name: str) -> Column:
@@ -21,11 +32,15 @@ def _blank_is_null(name: str) -> Column:
 
 
 def canonical_values(rows: DataFrame) -> DataFrame:
-    """Blank and null alliances are equal, and so are powers after rounding to six decimals."""
-    return rows.select(
-        "board", "taken_on", "identifier", "name", "server",
-        _blank_is_null("alliance").alias("alliance"), F.round("power", 6).alias("power"),
+    """Blank and null alliances are equal, and so are powers after rounding to six decimals.
+
+    Of rows that repeat one identifier within a delivery the greatest counts,
+    value by value in the order name, server, alliance, power.
+    """
+    slim = rows.select(
+        "board", "taken_on", "identifier", "name", F.col("server").cast("int").alias("server"), _blank_is_null("alliance").alias("alliance"), F.round(F.col("power").cast("double"), 6).alias("power")
     )
+    return slim.groupBy("board", "taken_on", "identifier").agg(F.max(F.struct("name", "server", "alliance", "power")).alias("v")).select("board", "taken_on", "identifier", "v.*")
 
 
 def last_deliveries(deliveries: DataFrame) -> DataFrame:
@@ -35,144 +50,144 @@ def last_deliveries(deliveries: DataFrame) -> DataFrame:
         F.max(F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), "delivery_id")).alias("m")
     )
     w = W.partitionBy("board").orderBy("taken_on")
-    return best.select("board", "taken_on", F.col("m.delivery_id").alias("delivery_id"), F.row_number().over(w).alias("seq"), F.lag("taken_on").over(w).alias("from_date"))
+    return best.select("board", "taken_on", F.col("m.delivery_id").alias("delivery_id"), F.row_number().over(w).alias("seq"))
 
 
-def index_of(rows: DataFrame) -> DataFrame:
-    """The index of snapshots: key, snapshot number and a 64-bit hash of the canonical values.
-
-    Of rows that repeat one identifier within a delivery the greatest counts,
-    value by value in the order name, server, alliance, power.
+class SnapshotIndex:
+    """One bucketed index on disk, in which every board's last snapshot is replaced by its next.
+
+    ``path`` must be a folder that all executors share.  Entries are bucketed
+    and sorted by (board, key) in ``buckets`` buckets and partitioned by the
+    generation that wrote them; a small table tells the generation and date of
+    every board's last snapshot.  Boards that are not in a delivery keep their
+    entries.  Partitions that no board needs any more are deleted.  An index
+    may be opened again by another session.
     """
-    return rows.select("board", "identifier", "seq", F.xxhash64("name", "server", "alliance", "power").alias("hash"))
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        layout = f"{self.path}/layout"
+        if self._exists(layout):
+            self.buckets = spark.read.json(layout).first()["buckets"]
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(layout)
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._hadoop(path))
+
+    def _generations(self) -> list[int]:
+        """Generations that were applied completely and are still kept."""
+        if not self._exists(f"{self.path}/applied"):
+            return []
+        return sorted(int(f.getPath().getName()[1:]) for f in self._fs.listStatus(self._hadoop(f"{self.path}/applied")) if f.getPath().getName().startswith("g"))
+
+    def _entries(self, generation: int) -> DataFrame:
+        """Entries that one generation wrote, known to Spark as bucketed."""
+        folder = f"{self.path}/entries/g{generation}"
+        name = "ladderlake_index_" + hashlib.md5(folder.encode()).hexdigest()
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} (board STRING, key STRING, h1 BIGINT, h2 BIGINT, identifier STRING, name STRING, server INT, alliance STRING, power DOUBLE) "
+                f"USING parquet CLUSTERED BY (board, key) SORTED BY (board, key) INTO {self.buckets} BUCKETS LOCATION '{folder}'"
+            )
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, generation: int) -> None:
+        keyed = canonical_values(rows).withColumn("key", F.coalesce(F.concat(F.lit("="), "identifier"), F.lit("")))  # null is an identifier of its own
+        state = [F.col(c) for c in ("name", "server", "alliance", "power")]
+        # a null field counts by its place, which the hash alone would pass over
+        marks = F.concat(*[c.isNull().cast("string") for c in state])
+        flat = keyed.select("board", "key", F.xxhash64(marks, *state).alias("h1"), F.xxhash64(F.lit(1), *state, marks).alias("h2"), "identifier", "name", "server", "alliance", "power")
+        folder = f"{self.path}/entries/g{generation}"
+        name = "ladderlake_write_" + hashlib.md5(folder.encode()).hexdigest()
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        flat.repartition(self.buckets, "board", "key").write.mode("overwrite").option("path", folder).bucketBy(self.buckets, "board", "key").sortBy("board", "key").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
 
-def diff_series(deliveries: DataFrame) -> DataFrame:
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """Differences of delivered snapshots (one date a board) against the index; afterwards they are the index.
+
+        A board's first snapshot has no differences.  The result is read from
+        the written changes, so it may be used after further deliveries.
+        """
+        known = self._generations()
+        last, generation = (known[-1] if known else 0), (known[-1] + 1 if known else 1)
+        self._write(rows, generation)
+        new, heads, target = self._entries(generation), f"{self.path}/heads/g{generation}", f"{self.path}/changes/g{generation}"
+        dates = rows.groupBy("board").agg(F.max("taken_on").alias("to_date"))
+        if last:
+            before = self.spark.read.schema(HEADS).parquet(f"{self.path}/heads/g{last}").select("board", F.col("generation").alias("before"), F.col("taken_on").alias("from_date"))
+        else:
+            before = dates.limit(0).select("board", F.lit(0).alias("before"), F.col("to_date").alias("from_date"))
+        both, now = dates.join(before, "board", "full"), F.col("to_date").isNotNull()
+        both.select(
+            "board", F.when(now, F.lit(generation)).otherwise(F.col("before")).alias("generation"), F.coalesce("to_date", "from_date").alias("taken_on"),
+            F.when(now, F.col("before")).alias("before"), F.when(now, F.col("from_date")).alias("from_date"),
+        ).write.mode("overwrite").parquet(heads)
+        state = self.spark.read.schema(HEADS).parquet(heads)
+        counts = state.groupBy("generation", "before").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each two generations in use
+        olds = sorted((r["before"], r["n"]) for r in counts if r["before"] is not None)
+        for k, (g, n) in enumerate(olds):
+            due = state.where(F.col("before") == g).select("board", "from_date", F.col("taken_on").alias("to_date"))
+            due = F.broadcast(due) if n <= BROADCAST_BOARDS else due
+            self._probe(new, self._entries(g), due).write.mode("append" if k else "overwrite").parquet(target)
+        self._fs.create(self._hadoop(f"{self.path}/applied/g{generation}"), True).close()
+        self._forget({r["generation"] for r in counts})
+        return self.spark.read.schema(CHANGES).parquet(target) if olds else self.spark.createDataFrame([], CHANGES)
+
+    def _probe(self, new: DataFrame, old: DataFrame, due: DataFrame) -> DataFrame:
+        """Changes of the boards ``due`` between two generations; both are bucketed alike, so neither is moved."""
+        of = lambda df: df.join(due.select("board"), "board", "left_semi")
+        slim = lambda df, p: of(df.select("board", "key", F.col("h1").alias(f"{p}1"), F.col("h2").alias(f"{p}2")))
+        changed = slim(new, "n").join(slim(old, "o"), ["board", "key"], "full").where("not (n1 <=> o1 and n2 <=> o2)").select("board", "key")
+        value = F.struct("name", "server", "alliance", "power")
+        fetch = lambda df, p: df.select("board", "key", F.col("identifier").alias(f"{p}_identifier"), value.alias(p))
+        pair = changed.join(fetch(old, "old"), ["board", "key"], "left").join(fetch(new, "new"), ["board", "key"], "left").join(due, "board")
+        same = lambda names: F.expr(" and ".join(f"old.{x} <=> new.{x}" for x in names))
+        kind = F.when(F.col("old").isNull(), "Added").when(F.col("new").isNull(), "Removed").when(~same(PLACE), "Moved").when(~same(VALUE), "Modified")
+        return pair.select(
+            "board", "from_date", "to_date", F.coalesce("new_identifier", "old_identifier").alias("identifier"), kind.alias("difference_type"), F.struct("old", "new").alias("payload")
+        ).where("difference_type is not null")
+
+    def _forget(self, needed: set[int]) -> None:
+        """Delete entries that no board needs, and tables of heads but the last."""
+        for g in self._generations()[:-1]:
+            if g not in needed:
+                self._fs.delete(self._hadoop(f"{self.path}/entries/g{g}"), True)
+                self.spark.sql("DROP TABLE IF EXISTS ladderlake_index_" + hashlib.md5(f"{self.path}/entries/g{g}".encode()).hexdigest())
+            self._fs.delete(self._hadoop(f"{self.path}/heads/g{g}"), True)
+            if g not in needed:
+                self._fs.delete(self._hadoop(f"{self.path}/applied/g{g}"), True)
+
+
+def diff_series(deliveries: DataFrame, buckets: int | None = None) -> DataFrame:
     """Differences between neighbouring dates of every board.
 
     Columns: board, from_date, to_date ('yyyy-MM-dd'), identifier,
     difference_type ('Added', 'Removed', 'Moved', 'Modified') and payload, a
-    struct of old and new name, server, alliance and power.  Identifiers are
-    compared as delivered, null being an identifier of its own.  The first date
-    of a board has no differences.  Rows without board or date are left out,
-    further columns are ignored, empty input gives no rows.
+    struct of old and new name, server, alliance and power.  The n-th dates of
+    all boards are applied to one :class:`SnapshotIndex` together, one after the
+    other.  Identifiers are compared as delivered, null being an identifier of
+    its own.  The first date of a board has no differences.  Rows without board
+    or date are left out, further columns are ignored, empty input gives no rows.
     """
+    spark = deliveries.sparkSession
+    folder = f"{shared_checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
     slim = deliveries.select("delivery_id", "board", "taken_on", "received_at", "identifier", "name", "server", "alliance", "power").where(
         "board is not null and taken_on is not null"
     )
-    chosen = last_deliveries(slim)
-    kept = slim.join(chosen.select("board", "taken_on", "delivery_id", "seq"), ["board", "taken_on", "delivery_id"])
-    rows = (
-        canonical_values_with_seq(kept)
-        .groupBy("board", "identifier", "seq")
-        .agg(F.max(F.struct("name", "server", "alliance", "power")).alias("v"))
-        .select("board", "identifier", "seq", "v.*")
-    )
-    index = index_of(rows)
-    # probe: the entry of snapshot n and that of n-1 (shifted by one) meet under (board, identifier, n)
-    entries = index.select("board", "identifier", "seq", F.col("hash").alias("new_hash"), F.lit(None).cast("bigint").alias("old_hash")).unionByName(
-        index.select("board", "identifier", (F.col("seq") + 1).alias("seq"), F.lit(None).cast("bigint").alias("new_hash"), F.col("hash").alias("old_hash"))
-    )
-    probed = entries.groupBy("board", "identifier", "seq").agg(F.max("new_hash").alias("new_hash"), F.max("old_hash").alias("old_hash"))
-    changed = probed.where("not (new_hash <=> old_hash)").join(
-        chosen.where("from_date is not null").select("board", "seq", "from_date", F.col("taken_on").alias("to_date")), ["board", "seq"]
-    )
-    return _with_old_and_new(changed, rows)
-
-
-def canonical_values_with_seq(kept: DataFrame) -> DataFrame:
-    """:func:`canonical_values` that keeps the snapshot number."""
-    return kept.select(
-        "board", "seq", "identifier", "name", "server", _blank_is_null("alliance").alias("alliance"), F.round("power", 6).alias("power")
-    )
-
-
-def _with_old_and_new(changed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fetch the values of changed keys only and classify them."""
-    value = F.struct("name", "server", "alliance", "power")
-    wanted = changed.select("board", "identifier", "seq", "from_date", "to_date", F.lit(True).alias("is_new")).unionByName(
-        changed.select("board", "identifier", (F.col("seq") - 1).alias("seq"), "from_date", "to_date", F.lit(False).alias("is_new"))
-    )
-    values = rows.select(F.col("board").alias("b"), F.col("identifier").alias("i"), F.col("seq").alias("s"), value.alias("v"))
-    # null-safe on the identifier, as null is an identifier of its own
-    fetched = wanted.join(values, (F.col("board") == F.col("b")) & F.col("identifier").eqNullSafe(F.col("i")) & (F.col("seq") == F.col("s")))
-    pair = fetched.groupBy("board", "from_date", "to_date", "identifier").agg(
-        F.max(F.when(~F.col("is_new"), F.col("v"))).alias("old"), F.max(F.when(F.col("is_new"), F.col("v"))).alias("new")
-    )
-    same = lambda names: [F.col(f"old.{n}").eqNullSafe(F.col(f"new.{n}")) for n in names]
-    place = same(PLACE)[0] & same(PLACE)[1]
-    values_same = same(VALUE)[0] & same(VALUE)[1]
-    kind = (
-        F.when(F.col("old").isNull(), "Added")
-        .when(F.col("new").isNull(), "Removed")
-        .when(~place, "Moved")
-        .when(~values_same, "Modified")
-    )
-    return pair.select(
-        "board",
-        F.date_format("from_date", "yyyy-MM-dd").alias("from_date"),
-        F.date_format("to_date", "yyyy-MM-dd").alias("to_date"),
-        "identifier",
-        kind.alias("difference_type"),
-        F.struct("old", "new").alias("payload"),
-    ).where(F.col("difference_type").isNotNull())
-
-
-class SnapshotIndex:
-    """The incremental form: one bucketed index on disk, replaced after every snapshot.
-
-    ``path`` must be a folder that all executors share.  The index and the
-    values are written as ``buckets`` partitions of the key's hash, so that a
-    probe touches a bucket once and a fetch of old values reads only buckets
-    that hold changed keys.
-    """
-
-    def __init__(self, spark, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _generation(self) -> int:
-        try:
-            return self.spark.read.json(f"{self.path}/current").agg(F.max("generation")).first()[0] or 0
-        except Exception:
-            return 0
-
-    def _prepare(self, rows: DataFrame) -> DataFrame:
-        value = F.struct("name", "server", "alliance", "power")
-        keyed = canonical_values(rows.withColumn("taken_on", F.lit(None).cast("date"))).groupBy("board", "identifier").agg(F.max(value).alias("v"))
-        flat = keyed.select("board", "identifier", "v.*")
-        return flat.withColumn("hash", F.xxhash64("name", "server", "alliance", "power")).withColumn(
-            "bucket", F.pmod(F.xxhash64("board", "identifier"), F.lit(self.buckets)).cast("int")
-        )
-
-    def apply(self, rows: DataFrame) -> DataFrame:
-        """Differences of ``rows`` against the index; afterwards ``rows`` are the index."""
-        generation = self._generation()
-        target = f"{self.path}/g{generation + 1}"
-        self._prepare(rows).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-        new = self.spark.read.parquet(target)
-        if generation:
-            old = self.spark.read.parquet(f"{self.path}/g{generation}")
-        else:
-            old = new.limit(0)
-        slim = ["bucket", "board", "identifier", "hash"]
-        n, o = new.select(*slim).alias("n"), old.select(*slim).alias("o")
-        on = (F.col("n.bucket") == F.col("o.bucket")) & F.col("n.board").eqNullSafe(F.col("o.board")) & F.col("n.identifier").eqNullSafe(F.col("o.identifier"))
-        keys = n.join(o, on, "full").where(~F.col("n.hash").eqNullSafe(F.col("o.hash"))).select(
-            F.coalesce("n.bucket", "o.bucket").alias("bucket"),
-            F.coalesce("n.board", "o.board").alias("board"),
-            F.coalesce("n.identifier", "o.identifier").alias("identifier"),
-        )
-        value = F.struct("name", "server", "alliance", "power")
-
-        def fetch(index: DataFrame, name: str) -> DataFrame:
-            return index.select(F.col("bucket").alias("b0"), F.col("board").alias("b1"), F.col("identifier").alias("b2"), value.alias(name))
-
-        def on_key() -> Column:
-            return (F.col("bucket") == F.col("b0")) & F.col("board").eqNullSafe(F.col("b1")) & F.col("identifier").eqNullSafe(F.col("b2"))
-
-        pair = keys.join(fetch(old, "old"), on_key(), "left").drop("b0", "b1", "b2").join(fetch(new, "new"), on_key(), "left").drop("b0", "b1", "b2")
-        same = lambda names: F.expr(" and ".join(f"old.{x} <=> new.{x}" for x in names))
-        kind = F.when(F.col("old").isNull(), "Added").when(F.col("new").isNull(), "Removed").when(~same(PLACE), "Moved").when(~same(VALUE), "Modified")
-        out = pair.select("board", "identifier", kind.alias("difference_type"), F.struct("old", "new").alias("payload")).where("difference_type is not null")
-        self.spark.range(1).select(F.lit(generation + 1).alias("generation")).coalesce(1).write.mode("append").json(f"{self.path}/current")
-        return out
+    kept = slim.join(last_deliveries(slim), ["board", "taken_on", "delivery_id"]).select("board", "taken_on", "identifier", "name", "server", "alliance", "power", "seq")
+    kept.repartition("seq", "board").write.partitionBy("seq").parquet(f"{folder}/delivered")
+    delivered = spark.read.schema(kept.schema).parquet(f"{folder}/delivered")
+    dates = sorted(r["seq"] for r in delivered.select("seq").distinct().collect())  # a number a date
+    index = SnapshotIndex(spark, f"{folder}/index", buckets)
+    for n in dates:
+        index.apply(delivered.where(F.col("seq") == n).drop("seq"))
+    changes = spark.read.schema(CHANGES).parquet(*[f"{folder}/index/changes/g{n}" for n in range(2, len(dates) + 1)]) if len(dates) > 1 else spark.createDataFrame([], CHANGES)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return changes.select("board", day("from_date"), day("to_date"), "identifier", "difference_type", "payload")

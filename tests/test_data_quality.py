@@ -189,10 +189,51 @@ def test_differences_between_neighbouring_dates(spark):
     assert diff_series(spark.createDataFrame([], SNAP)).count() == 0
 
 
-def test_index_on_disk_gives_the_same_differences(spark, tmp_path):
+def changed(df):
+    return {(r["board"], str(r["from_date"]), str(r["to_date"]), r["identifier"], r["difference_type"]) for r in df.collect()}
+
+
+def test_index_keeps_boards_that_are_not_delivered(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = SnapshotIndex(spark, path, buckets=4)
+    make = lambda rows: spark.createDataFrame(rows, SNAP)
+    first = index.apply(make(snap(1, 0, 0, [("x", "X", 1, "A", 1.0), ("y", "Y", 1, "", 2.0)]) + snap(2, 0, 0, [("x", "X", 1, "A", 1.0)], "c")))
+    assert first.count() == 0
+    second = index.apply(make(snap(3, 7, 7, [("x", "X", 2, "A", 1.0), ("w", "W", 1, None, 4.0), ("w", "V", 1, None, 4.0)])))
+    assert changed(second) == {("b", "2025-01-01", "2025-01-08", "x", "Moved"), ("b", "2025-01-01", "2025-01-08", "y", "Removed"), ("b", "2025-01-01", "2025-01-08", "w", "Added")}
+    # another session's view of the same folder; board c still has its first snapshot
+    again = SnapshotIndex(spark, path)
+    assert again.buckets == 4
+    third = again.apply(make(snap(4, 14, 14, [("x", "X", 1, "A", 1.5), (None, "N", 1, None, 1.0)], "c") + snap(5, 14, 14, [("x", "X", 2, "A", 1.0), ("w", "W", 1, None, 4.0)])))
+    assert changed(third) == {("c", "2025-01-01", "2025-01-15", "x", "Modified"), ("c", "2025-01-01", "2025-01-15", None, "Added")}
+    assert changed(second) and sorted(p.name for p in (tmp_path / "index" / "entries").iterdir()) == ["g3"]
+
+
+def test_probing_the_index_moves_no_snapshot(spark, tmp_path):
     index = SnapshotIndex(spark, str(tmp_path / "index"), buckets=4)
-    first = spark.createDataFrame(snap(1, 0, 0, [("x", "X", 1, "A", 1.0), ("y", "Y", 1, "", 2.0)]), SNAP)
-    second = spark.createDataFrame(snap(2, 7, 7, [("x", "X", 2, "A", 1.0), ("w", "W", 1, None, 4.0)]), SNAP)
-    assert {r["difference_type"] for r in index.apply(first).collect()} == {"Added"}
-    got = {(r["identifier"], r["difference_type"]) for r in index.apply(second).collect()}
-    assert got == {("x", "Moved"), ("y", "Removed"), ("w", "Added")}
+    for n in (1, 2):
+        index.apply(spark.createDataFrame(snap(n, 7 * n, 7 * n, [(f"i{k}", "X", k + n, "A", 1.0) for k in range(50)]), SNAP))
+    due = spark.createDataFrame([("b", day(7), day(14))], "board string, from_date date, to_date date")
+    index._write(spark.createDataFrame(snap(3, 21, 21, [("i1", "X", 1, "A", 1.0)]), SNAP), 3)
+    plan = index._probe(index._entries(3), index._entries(2), F.broadcast(due))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+
+
+def test_series_against_a_plain_comparison(spark):
+    rng = random.Random(7)
+    rows, state, last = [], {}, {}
+    want = set()
+    for n in range(5):
+        for b in "abc":
+            if n and rng.random() < 0.3:
+                continue
+            new = {f"i{k}": (rng.choice("XY"), rng.randrange(2), rng.choice(["A", None]), float(rng.randrange(2))) for k in rng.sample(range(12), 8)}
+            rows += snap(len(rows), 7 * n, 7 * n, [(i, *v) for i, v in new.items()], b)
+            if b in state:
+                for i in state[b].keys() | new.keys():
+                    o, w = state[b].get(i), new.get(i)
+                    kind = "Added" if o is None else "Removed" if w is None else "Moved" if o[1:3] != w[1:3] else "Modified" if o != w else None
+                    if kind:
+                        want.add((b, str(last[b]), str(day(7 * n)), i, kind))
+            state[b], last[b] = new, day(7 * n)
+    assert changed(diff_series(spark.createDataFrame(rows, SNAP))) == want
