@@ -38,7 +38,7 @@ BLOCK_ROWS = 8_192
 #: Cells that document frequencies are counted in: tokens that share one share their count, so the table is bounded.
 CELLS = 1 << 21
 #: Postings that are added up at a time.
-BATCH_POSTINGS = 4_000_000
+BATCH_POSTINGS = 1_000_000
 #: Queries whose first and second places are labelled to fit the calibration; the bound keeps the driver's part fixed.
 CALIBRATION_ROWS = 4_000
 #: Evidence of a pair, and the weights the calibration starts from (the last one is the constant).

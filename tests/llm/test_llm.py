@@ -142,10 +142,10 @@ def test_pairs_of_alike_names(spark):
 FRAG = "id bigint, g int, name string, power bigint, c double, at timestamp, field string, value string"
 
 
-def best(spark, rows, limit=survivors.ORDERED_VALUES):
+def best(spark, rows):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], FRAG)
     fields = {"name": survivors.text_value(F.col("name")), "power": survivors.positive_value(F.col("power"))}
-    return {r["g"]: (r["name_from"], r["power_from"]) for r in survivors.survivors(df, ["g"], fields, "id", "c", "at", limit).collect()}
+    return {r["g"]: (r["name_from"], r["power_from"]) for r in survivors.survivors(df, ["g"], fields, "id", "c", "at").collect()}
 
 
 def test_survivors_by_trust_time_and_id(spark):
@@ -159,14 +159,57 @@ def test_survivors_by_trust_time_and_id(spark):
     assert best(spark, []) == {}
 
 
-@pytest.mark.parametrize("limit", [10_000, 2])
-def test_missing_timestamps_are_reasoned_from_other_groups(spark, limit):
+def brute_latest(rows):
+    """The survivor of ``name`` in every group of more than one row, by closing the learned order over all pairs."""
+    seen, votes = {}, {}
+    for _, g, v, _, _, at in rows:
+        if at is not None:
+            seen.setdefault(g, {})[v] = min(at, seen.get(g, {}).get(v, at))
+    for first in seen.values():
+        order = sorted(first, key=lambda v: (first[v], v))
+        for k, a in enumerate(order):
+            for b in (order[k + (1 << j)] for j in range(9) if k + (1 << j) < len(order)):
+                if first[a] < first[b]:
+                    votes[a, b] = votes.get((a, b), 0) + 1
+    less = {(a, b) for (a, b), n in votes.items() if n > votes.get((b, a), 0)}
+    while True:
+        more = {(a, d) for a, b in less for c, d in less if b == c} - less
+        if not more:
+            break
+        less |= more
+    out = {}
+    for g in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == g]
+        top = [r for r in mine if r[4] == max(x[4] for x in mine)]
+        latest = {v: max(((r[5] or dt.datetime.min), -r[0]) for r in top if r[2] == v) for v in {r[2] for r in top}}
+        undated = {v for v in latest if latest[v][0] == dt.datetime.min}
+        left = [v for v in latest if not any((v, w) in less and (w, v) not in less and (v in undated or w in undated) for w in latest)] if any(r[5] is None for r in top) else list(latest)
+        out[g] = -max(latest[v] for v in left)[1]
+    return out
+
+
+def test_missing_timestamps_are_reasoned_from_other_groups(spark):
     at = lambda n: T0 + dt.timedelta(days=n)
-    rows = [(i * 10 + k, 100 + i, v, 1, 0.9, at(k)) for i in range(3) for k, v in enumerate(("old", "mid", "new"))]
+    rows = [(i * 10 + k, 100 + i, v, 1, 0.9, at(k)) for i in range(5) for k, v in enumerate(("old", "mid", "new"))]
     rows += [(900, 7, "mid", 1, 0.9, None), (901, 7, "old", 1, 0.9, None), (905, 8, "mid", 1, 0.9, at(5)), (904, 8, "old", 1, 0.9, None)]
-    got = best(spark, rows, limit)
-    assert got[7][0] == 900 or limit == 2
-    assert got[8][0] == 905
+    rows += [(910, 9, "old", 1, 0.9, None), (911, 9, "new", 1, 0.9, None), (920, 10, "new", 1, 0.9, at(1)), (921, 10, "other", 1, 0.9, None)]
+    got = best(spark, rows)
+    assert (got[7][0], got[8][0], got[9][0], got[10][0]) == (900, 905, 911, 920)
+    assert {g: v[0] for g, v in got.items()} == brute_latest(rows)
+
+
+def test_reasoned_order_against_brute_force(spark):
+    rng = random.Random(4)
+    at = lambda n: T0 + dt.timedelta(days=n)
+    rows = []
+    for g in range(60):
+        values = rng.sample("abcdefgh", rng.randrange(2, 6))
+        if rng.random() < 0.8:
+            values.sort()
+        rows += [(g * 100 + k, g, v, 1, rng.choice([0.5, 0.9, 0.9]), None if g % 3 == 0 and rng.random() < 0.7 else at(k)) for k, v in enumerate(values)]
+    # one group holds far more values than a range
+    rows += [(90_000 + k, 777, f"w{k:04d}", 1, 0.9, at(k)) for k in range(100)] + [(99_000, 778, "w0003", 1, 0.9, None), (98_999, 778, "w0090", 1, 0.9, None)]
+    assert {g: v[0] for g, v in best(spark, rows).items()} == brute_latest([r for r in rows if r[1] < 777]) | {777: 90_099, 778: 98_999}
 
 
 # --- leakage -----------------------------------------------------------------
@@ -205,14 +248,43 @@ def test_leaks_against_brute_force(spark):
     i = spark.createDataFrame([(k, v, "x") for k, v in items.items()], "item_id bigint, item_text string, text string")
     t = spark.createDataFrame([(k, v, "x") for k, v in docs.items()] + [(0, docs[0], "x")], "doc_id bigint, text string, item_text string")
     assert {tuple(r) for r in leakage.find_leaks(i, t).collect()} == want
-    assert {tuple(r) for r in leakage.find_leaks(i, t, block_items=5).collect()} == want
+    assert {tuple(r) for r in leakage.find_leaks(i, t, chunk=2).collect()} == want
     assert leakage.find_leaks(i.limit(0), t).count() == 0 and leakage.find_leaks(i, t.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("way", ["spread", "random", "left out"])
+def test_short_items_with_one_word_in_eight_changed_are_found(spark, way):
+    """Every item of 6 to 64 words with as many words changed as one in eight allows is found in a longer document."""
+    rng = random.Random(way)
+    items, docs = {}, {}
+    for i, n in enumerate([n for n in (6, 8, 12, 14, 16, 20, 24, 32, 40, 47, 48, 56, 64) for _ in range(20)]):
+        words = item(rng, n).split()
+        items[i] = " ".join(words)
+        k = n // 8
+        places = [round((j + 1) * n / (k + 1)) - 1 for j in range(k)] if way == "spread" else rng.sample(range(n), k)
+        changed = ["" if x in places and way == "left out" else item(rng, 2).replace(" ", "x") if x in places else w for x, w in enumerate(words)]
+        docs[i] = f"{item(rng, 40)} {' '.join(changed)} {item(rng, 40)}"
+    a = spark.createDataFrame(list(items.items()), "item_id bigint, item_text string")
+    b = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    found = {tuple(r) for r in leakage.find_leaks(a, b).collect()}
+    sure = {(i, i) for i in items if len(items[i].split()) <= leakage.SURE_WORDS}
+    assert sure <= found and len(found & {(i, i) for i in items}) >= 0.99 * len(items)
+
+
+def test_an_item_behind_repeats_of_its_phrases_is_found():
+    rng = random.Random(3)
+    words = item(rng, 40).split()
+    near = [w for k in range(12) for w in [*words[k : k + 9], "between"]]
+    changed = [w if k % 9 != 4 else "other" for k, w in enumerate(words)]
+    number = {w: i + 1 for i, w in enumerate({*words, "between", "other"})}
+    ids = lambda x: np.array([number[w] for w in x], dtype=np.uint64)
+    assert leakage.holds(ids(near + changed + near), ids(words)) and not leakage.holds(ids(near), ids(words))
+
+
 def test_words_and_the_common_subsequence():
     assert plain_words("Th­e <em class='q'>Ｆｕｌｌ</em> **bold**<br/>x&amp;y") == [b"the", b"full", b"bold", b"x", b"y"]
     assert leakage.common_in_order([1, 2, 3, 4], [9, 2, 4, 1]) == 2
-    h = leakage.shingle_hashes(np.array([1, 2, 3, 0, 1, 2, 3], dtype=np.int32), 3)
+    h = leakage.shingle_hashes(np.array([1, 2, 3, 0, 1, 2, 3], dtype=np.uint64), 3)
     assert h[0] == h[4] and (h[1:4] == np.iinfo(np.uint64).max).all()
 
 
