@@ -1,9 +1,10 @@
 """Implausible spikes in measurements.
 
 Every series (source, position, measurement) is followed by a robust
-exponentially weighted control chart whose limits come from the source's own
-habit.  A suspected value is clipped to the limit before it moves the mean, so
-an outlier cannot hide the next one.  Run-length counters find stuck values and
+exponentially weighted control chart of mean and scale, whose limits start from
+the source's own habit and narrow to the scale of the series.  A suspected value
+is clipped to the limit before it moves mean and scale, so an outlier cannot
+hide the next one.  Run-length counters find stuck values and
 physical limits find impossible ones.  What the chart suspects is then decided
 by an exact look at the neighbouring readings.
 """
@@ -30,8 +31,9 @@ REACH = 3  # readings looked at on either side, and the repeats that make a run
 class ChartSettings:
     """``factor``: multiple of the source's median relative change beyond which a reading is a spike.
 
-    ``limit``: chart limit in the same unit; ``alpha``: weight of the newest
-    reading; ``unruly``: median relative change from which on the chart's limits
+    ``limit``: widest chart limit in the same unit; ``spread``: chart limit as a
+    multiple of the series' scale, which never falls below ``calm`` of the habit;
+    ``alpha``: weight of the newest reading; ``unruly``: median relative change from which on the chart's limits
     are too wide to be a superset of the exact rule, so that all readings of the
     source go to the exact check; ``floor``: largest impossible reading;
     ``hot_rows``: rows of one source that one task may hold.
@@ -39,6 +41,8 @@ class ChartSettings:
 
     factor: float = 12.0
     limit: float = 2.0
+    spread: float = 3.0
+    calm: float = 0.25
     alpha: float = 0.25
     unruly: float = 0.12
     floor: float = 0.0
@@ -55,7 +59,7 @@ def chart_suspects(values: np.ndarray, starts: np.ndarray, habit: np.ndarray, s:
     A reading is suspect if it leaves the chart's limits, if it is among the
     first ``REACH`` of a series, or if one of the ``REACH`` readings before it
     was suspect.  With three unsuspected readings before it, their median lies
-    within limit*(1 + 3*alpha)*habit of the mean, so a reading that is beyond
+    within limit*(1 + 3*alpha)*habit of the mean (the scale only narrows the limit), so a reading that is beyond
     factor*habit of that median is beyond limit*habit of the mean too, as long
     as the habit is below ``unruly``; the suspects hold every exact case.
     """
@@ -67,13 +71,14 @@ def chart_suspects(values: np.ndarray, starts: np.ndarray, habit: np.ndarray, s:
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, habit = starts[order], lengths[order], habit[order]
     mean = values[starts].astype(float)
+    scale = habit * np.abs(mean)  # weighted mean of the clipped distances to the mean
     quiet = np.zeros(len(starts), dtype=int)  # unsuspected readings in a row
     run = np.zeros(len(starts), dtype=int)  # readings in a row beyond the limit on one side
     for t in range(int(lengths[0])):
         live = int(np.searchsorted(-lengths, -t, side="left"))
         at = starts[:live] + t
         x, m, h = values[at].astype(float), mean[:live], habit[:live]
-        width = s.limit * h * np.abs(m)
+        width = np.minimum(s.limit * h * np.abs(m), s.spread * np.maximum(scale[:live], s.calm * h * np.abs(m)))
         gap = x - m
         beyond = ~(np.abs(gap) <= width) | (m <= 0)
         unsettled = quiet[:live] < REACH
@@ -82,8 +87,11 @@ def chart_suspects(values: np.ndarray, starts: np.ndarray, habit: np.ndarray, s:
         run[:live] = np.where(beyond & (np.sign(run[:live]) == side), run[:live] + side, side)
         clipped = m + np.clip(gap, -width, width)
         moved = m + s.alpha * (clipped - m)
+        wider = scale[:live] + s.alpha * (np.minimum(np.abs(gap), width) - scale[:live])
         # a lasting change of level: after REACH readings beyond on one side the chart is set anew
-        mean[:live] = np.where((np.abs(run[:live]) >= REACH) | (m <= 0) | ~np.isfinite(moved), x, moved)
+        anew = (np.abs(run[:live]) >= REACH) | (m <= 0) | ~np.isfinite(moved)
+        mean[:live] = np.where(anew, x, moved)
+        scale[:live] = np.where(anew | ~np.isfinite(wider), h * np.abs(x), wider)
         quiet[:live] = np.where(beyond, 0, quiet[:live] + 1)
     return out
 
@@ -228,12 +236,12 @@ def flag_readings(
     # at most total / hot_rows sources can be hot; the bound is checked before they go to the driver
     hot = sizes.where(F.col("n") > settings.hot_rows)
     plain = slim.withColumns({"chunk": F.lit(0), "halo": F.lit(False), "habit": F.lit(None).cast("double")})
-    n_hot = hot.count()
-    if n_hot:
+    largest = hot.agg(F.max("n")).first()[0]
+    if largest:
         names = hot.select(F.col("source").alias("__hot"))
         is_hot = F.col("source").eqNullSafe(F.col("__hot"))
         small = plain.join(names, is_hot, "left_anti")
-        large = _chunked(slim.join(names, is_hot, "left_semi"), fields, measure, settings)
+        large = _chunked(slim.join(names, is_hot, "left_semi"), fields, measure, settings, largest)
         return _run(small, fields, measure, settings, False).unionByName(_run(large, fields, measure, settings, True))
     return _run(plain, fields, measure, settings, False)
 
@@ -255,12 +263,17 @@ def _run(df: DataFrame, fields: list[str], measure: str, s: ChartSettings, known
     return ordered.select(*columns).withColumns(filled).mapInPandas(judge, _OUT)
 
 
-def _chunked(hot: DataFrame, fields: list[str], measure: str, s: ChartSettings) -> DataFrame:
-    """Rows of hot sources with their habit, cut into chunks of time that overlap."""
+def _chunked(hot: DataFrame, fields: list[str], measure: str, s: ChartSettings, largest: int) -> DataFrame:
+    """Rows of hot sources with their habit, cut into chunks of time that overlap.
+
+    A series gets so many chunks that none of the ``largest`` source's holds more
+    than about an eighth of ``hot_rows``.
+    """
+    pieces = max(8, -(-8 * largest // s.hot_rows))
     key = ["source", "position"]
     one = hot.groupBy("row_id", *key, "at").agg(*[F.first(f, ignorenulls=True).alias(f) for f in fields])
     micros = F.unix_micros("at")
-    tiles = one.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(micros, [i / 64 for i in range(1, 64)], 1000).alias("edges"))
+    tiles = one.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(micros, [i / pieces for i in range(1, pieces)], max(1000, 4 * pieces)).alias("edges"))
     use = F.when(F.col("n") > s.hot_rows // 4, F.array_distinct("edges")).otherwise(F.array().cast("array<bigint>"))
     nullsafe = F.col("source").eqNullSafe(F.col("s2")) & F.col("position").eqNullSafe(F.col("p2"))
     marked = one.join(tiles.select(F.col("source").alias("s2"), F.col("position").alias("p2"), use.alias("edges")), nullsafe).drop("s2", "p2")

@@ -53,11 +53,15 @@ def explosion_set(rows: DataFrame, factor: float = 2.5) -> DataFrame:
 
 
 def power_candidates(power: Column) -> Column:
-    """Repairs of a power that was read wrongly: a digit lost at the end, an inner zero lost, a leading digit lost."""
+    """Repairs of a power that was read wrongly: a digit lost at the end, an inner zero lost, a leading digit lost.
+
+    Repairs beyond the range of a 64-bit integer are left out.
+    """
     s = power.cast("string")
-    zeros = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i), F.lit("0"), F.substring(s, i + 1, F.lit(20))).cast("bigint"))
-    heads = F.transform(F.array(*[F.lit(d) for d in "1234"]), lambda d: F.concat(d, s).cast("bigint"))
-    return F.array_sort(F.array_distinct(F.concat(F.array(power * 10, power * 100), zeros, heads)))
+    zeros = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i), F.lit("0"), F.substring(s, i + 1, F.lit(20))).try_cast("bigint"))
+    ends = F.transform(F.array(F.lit("0"), F.lit("00")), lambda d: F.concat(s, d).try_cast("bigint"))
+    heads = F.transform(F.array(*[F.lit(d) for d in "1234"]), lambda d: F.concat(d, s).try_cast("bigint"))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(ends, zeros, heads))))
 
 
 def content_blocks(rows: DataFrame, small: int = 20, large: int = 25, least: float = 0.72) -> DataFrame:
@@ -70,7 +74,12 @@ def content_blocks(rows: DataFrame, small: int = 20, large: int = 25, least: flo
     inside = F.when((F.col("s.lo") >= F.col("b.lo")) & (F.col("s.hi") <= F.col("b.hi")), 1.0).otherwise(0.0)
     overlap = F.when(F.size("s.tags") > 0, F.size(F.array_intersect("s.tags", "b.tags")) / F.size("s.tags")).otherwise(0.0)
     score = F.round(0.45 * inside + 0.35 * overlap + 0.10 * F.least(F.col("b.n") / F.col("s.n") / 10.0, F.lit(1.0)) + F.when(F.coalesce(F.col("s.confidence"), F.lit(1.0)) < 0.75, 0.10).otherwise(0.0), 4)
-    pair = s.join(b, (F.col("s.ranking_type") == F.col("b.ranking_type")) & (F.col("s.day") == F.col("b.day")) & (F.col("s.server") != F.col("b.server")))
+    # without a common tag a pair stays below ``least``, so blocks meet by tag
+    key = ["ranking_type", "day"]
+    tagged = lambda x, n: x.select(*[F.col(f"{n}.{c}") for c in key], F.col(f"{n}.server").alias(f"{n}_server"), F.explode(f"{n}.tags").alias("tag"))
+    met = tagged(s, "s").join(tagged(b, "b"), [*key, "tag"]).where("s_server <> b_server").select(*key, "s_server", "b_server").distinct()
+    on = lambda n: (F.col("m.ranking_type") == F.col(f"{n}.ranking_type")) & (F.col("m.day") == F.col(f"{n}.day")) & (F.col(f"m.{n}_server") == F.col(f"{n}.server"))
+    pair = met.alias("m").join(s, on("s")).join(b, on("b"))
     scored = pair.select(F.col("s.server").alias("server"), F.col("s.ranking_type").alias("ranking_type"), F.col("s.day").alias("day"), F.col("b.server").alias("target"), score.alias("score"))
     w = W.partitionBy("server", "ranking_type", "day").orderBy(F.desc("score"), "target")
     return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") == 1).drop("n").where(F.col("score") >= least)

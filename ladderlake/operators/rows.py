@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,18 +96,56 @@ def row_bands(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     return hit.groupBy(*SCREEN, "row_no", "power_text").agg(F.array_sort(F.collect_list("w")).alias("words"))  # the words of one line
 
 
+# A tag in brackets, and one whose opening bracket was lost.
+BRACKET_TAG, HALF_TAG = r"\[\s*([A-Za-z0-9]{2,7})\s*\]", r"^\s*[Il1|]?([A-Za-z0-9]{2,6})\s*\]"
+
+
+def _tag_of(text: Column) -> Column:
+    """The tag in a token, a stroke that was glued to a longer one taken off; null without a letter in it."""
+    whole = F.regexp_extract(text, BRACKET_TAG, 1)
+    found = F.when(whole != "", whole).otherwise(F.regexp_extract(text, HALF_TAG, 1))
+    bare = F.when((F.length(found) >= 4) & found.rlike("^[Il1].*[A-Za-z]"), F.substring(found, 2, 6)).otherwise(found)
+    return F.when(F.length(bare).between(2, 6) & bare.rlike("[A-Za-z]"), bare)
+
+
+def is_badge(text: Column) -> Column:
+    """Small pieces of decoration that are no names: marks, or a few characters that mix marks, digits and ideographs."""
+    count = lambda letters: F.length(F.regexp_replace(text, f"[^{letters}]", ""))
+    latin, digits, hangul = count("A-Za-z"), count("0-9"), count("\uac00-\ud7af")
+    marks = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", ""))
+    short = F.length(text) <= 8
+    other = (short & (marks >= 1) & ((digits >= 1) | (latin <= 1))) | (short & text.rlike(r"[^\x00-\x7f]") & (latin <= 1) & (digits >= 1))
+    return (F.length(text) <= 2) & ~text.rlike(r"[\p{L}\p{N}]") | ~((hangul > 0) & (latin == 0) & (marks == 0)) & other
+
+
+def reconstruct_columns(words: Column) -> Column:
+    """Tag, name and whether badges or words before the tag were left out, from the words of a row in reading order.
+
+    The last word with a tag gives the tag; what follows the first one is the
+    name.  Without a tag all words but badges are the name; no word gives ''.
+    """
+    clean = F.filter(F.transform(words, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    tags = F.transform(clean, _tag_of)
+    at = F.array_position(F.transform(tags, lambda t: t.isNotNull()), True)
+    bare = F.transform(clean, lambda t: F.when(_tag_of(t).isNotNull(), F.trim(F.regexp_replace(F.regexp_replace(t, "^.*?" + BRACKET_TAG, ""), HALF_TAG, ""))).otherwise(t))
+    after = F.filter(F.slice(bare, F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.size(bare), F.lit(1))), lambda t: t != "")
+    plain = F.filter(clean, lambda t: ~is_badge(t))
+    tag = F.try_element_at(F.array_compact(tags), F.lit(-1))
+    name = F.when(at > 0, F.array_join(after, " ")).otherwise(F.array_join(plain, " "))
+    left_out = F.when(at > 0, at > 1).otherwise(F.size(plain) < F.size(clean))
+    return F.struct(tag.alias("tag"), name.alias("name"), left_out.alias("left_out"))
+
+
 def parse_rows(bands: DataFrame) -> DataFrame:
     """(…, ocr_rank, tag, name, power, raw_text, confidence) of each band."""
     texts = F.transform("words", lambda x: x["text"])
     middle = F.filter(texts, lambda x: ~tx.is_power(x) & ~tx.is_noise(x))
     rank = F.try_element_at(F.filter(middle, lambda x: tx.is_rank(x)), F.lit(1))
-    words = F.filter(middle, lambda x: ~tx.is_rank(x))
-    name = F.array_join(words, " ")
-    tag = F.nullif(F.regexp_extract(name, r"^\[([^\[\]]{1,6})\]", 1), F.lit(""))
+    columns = reconstruct_columns(F.filter(middle, lambda x: ~tx.is_rank(x)))
     return bands.select(
-        *SCREEN, "row_no", rank.cast("int").alias("ocr_rank"), tag.alias("tag"), F.regexp_replace(name, r"^\[[^\[\]]{1,6}\]\s*", "").alias("name"),
+        *SCREEN, "row_no", rank.cast("int").alias("ocr_rank"), columns.alias("c"),
         tx.parse_magnitude(F.col("power_text")).alias("power"), F.array_join(texts, " ").alias("raw_text"), F.array_min(F.transform("words", lambda x: x["confidence"])).alias("confidence"),
-    )
+    ).select(*SCREEN, "row_no", "ocr_rank", "c.tag", "c.name", "power", "raw_text", "confidence")
 
 
 def dedupe_identity_power(rows: DataFrame, keys: list[str], name: str, power: str, order: str, tolerance: float = 0.003) -> DataFrame:

@@ -43,6 +43,11 @@ def canonical_values(rows: DataFrame) -> DataFrame:
     return slim.groupBy("board", "taken_on", "identifier").agg(F.max(F.struct("name", "server", "alliance", "power")).alias("v")).select("board", "taken_on", "identifier", "v.*")
 
 
+def canonical_values_with_seq(kept: DataFrame) -> DataFrame:
+    """The same values row by row, repeated identifiers included, with the number of the date."""
+    return kept.select("board", "seq", "identifier", "name", "server", _blank_is_null("alliance").alias("alliance"), F.round("power", 6).alias("power"))
+
+
 def last_deliveries(deliveries: DataFrame) -> DataFrame:
     """``(board, taken_on, delivery_id, seq)``: of each board and date the delivery received last; ``seq`` numbers a board's dates."""
     heads = deliveries.groupBy("board", "taken_on", "delivery_id").agg(F.max("received_at").alias("received_at"))
@@ -191,3 +196,26 @@ def diff_series(deliveries: DataFrame, buckets: int | None = None) -> DataFrame:
     changes = spark.read.schema(CHANGES).parquet(*[f"{folder}/index/changes/g{n}" for n in range(2, len(dates) + 1)]) if len(dates) > 1 else spark.createDataFrame([], CHANGES)
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return changes.select("board", day("from_date"), day("to_date"), "identifier", "difference_type", "payload")
+
+
+def differences_at_once(deliveries: DataFrame) -> DataFrame:
+    """The rows of :func:`diff_series` in one plan, for queries that go over a whole history anyway.
+
+    Every delivered row meets the one before it under (board, identifier, number
+    of the date) in a single shuffle; equal states are left out after it.
+    """
+    slim = deliveries.select("delivery_id", "board", "taken_on", "received_at", "identifier", "name", "server", "alliance", "power").where(
+        "board is not null and taken_on is not null"
+    )
+    chosen = last_deliveries(slim)
+    rows = canonical_values(slim.join(chosen, ["board", "taken_on", "delivery_id"])).join(chosen.select("board", "taken_on", "seq"), ["board", "taken_on"])
+    value = F.struct("name", "server", "alliance", "power")
+    here = F.explode(F.array(F.struct(F.col("seq").alias("seq"), F.lit(True).alias("new")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("new"))))
+    met = rows.select("board", "identifier", value.alias("v"), here.alias("at")).groupBy("board", "identifier", F.col("at.seq").alias("seq")).agg(
+        F.max(F.when(~F.col("at.new"), F.col("v"))).alias("old"), F.max(F.when(F.col("at.new"), F.col("v"))).alias("new")
+    )
+    dates = chosen.select("board", "seq", F.col("taken_on").alias("to_date"), F.lag("taken_on").over(W.partitionBy("board").orderBy("taken_on")).alias("from_date")).where("from_date is not null")
+    same = lambda names: F.expr(" and ".join(f"old.{x} <=> new.{x}" for x in names))
+    kind = F.when(F.col("old").isNull(), "Added").when(F.col("new").isNull(), "Removed").when(~same(PLACE), "Moved").when(~same(VALUE), "Modified")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return met.join(dates, ["board", "seq"]).select("board", day("from_date"), day("to_date"), "identifier", kind.alias("difference_type"), F.struct("old", "new").alias("payload")).where("difference_type is not null")

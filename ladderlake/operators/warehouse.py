@@ -51,24 +51,26 @@ def vote_majority(votes: DataFrame, keys: list[str], value: str, first_at: str)
     return latest_per(counted, keys, [F.desc("votes"), F.col("first_at"), F.col(value)])
 
 
-def gap_islands(found: DataFrame, last_rank: int) -> DataFrame:
-    """Runs of missing ranks per snapshot and ranking type with the ranks on both sides.
+def gap_islands(found: DataFrame, last_rank: int | None = None) -> DataFrame:
+    """Runs of missing ranks per snapshot and ranking type with the ranks on both sides, up to ``last_rank`` or the last rank there is.
 
     ``found``: snapshot_id, ranking_type, rank.  Only neighbours are compared,
     so a window never holds more than the ranks of one list.
     """
     w = W.partitionBy("snapshot_id", "ranking_type").orderBy("rank")
-    seen = found.where(F.col("rank").between(1, last_rank)).distinct()
+    seen = found.where("rank >= 1" if last_rank is None else F.col("rank").between(1, last_rank)).distinct()
     inner = seen.withColumn("previous", F.lag("rank").over(w)).withColumn("next", F.lead("rank").over(w))
     before = inner.where(F.col("rank") - F.coalesce("previous", F.lit(0)) > 1).select(
         "snapshot_id", "ranking_type", (F.coalesce("previous", F.lit(0)) + 1).alias("gap_start"), (F.col("rank") - 1).alias("gap_end"),
         F.col("previous").alias("previous_anchor"), F.col("rank").alias("next_anchor"),
     )
-    tail = inner.where(F.col("next").isNull() & (F.col("rank") < last_rank)).select(
-        "snapshot_id", "ranking_type", (F.col("rank") + 1).alias("gap_start"), F.lit(last_rank).alias("gap_end"),
-        F.col("rank").alias("previous_anchor"), F.lit(None).cast("int").alias("next_anchor"),
-    )
-    return before.unionByName(tail).withColumn("gap_rows", F.col("gap_end") - F.col("gap_start") + 1).withColumn(
+    if last_rank is not None:
+        tail = inner.where(F.col("next").isNull() & (F.col("rank") < last_rank)).select(
+            "snapshot_id", "ranking_type", (F.col("rank") + 1).alias("gap_start"), F.lit(last_rank).alias("gap_end"),
+            F.col("rank").alias("previous_anchor"), F.lit(None).cast("int").alias("next_anchor"),
+        )
+        before = before.unionByName(tail)
+    return before.withColumn("gap_rows", F.col("gap_end") - F.col("gap_start") + 1).withColumn(
         "bounded", F.col("previous_anchor").isNotNull() & F.col("next_anchor").isNotNull()
     )
 

@@ -39,15 +39,31 @@ steps AS (SELECT *, CASE WHEN lag(value) OVER w > 0 THEN (value - lag(value) OVE
 one AS (SELECT server, entity, count(*) AS points, min(ord) AS first_ord, max(ord) AS last_ord, arg_min(value, ord) AS first_total, arg_max(value, ord) AS last_total, arg_min(rank, ord) AS first_rank, arg_max(rank, ord) AS last_rank,
   round(coalesce(max(step_pct), 0), 4) AS max_gain, round(coalesce(min(step_pct), 0), 4) AS max_drop, round(coalesce(avg(abs(step_pct)), 0), 4) AS volatility FROM steps GROUP BY ALL),
 p0 AS (SELECT one.*, first_seen, latest, round({an.PCT}, 4) AS power_pct, first_rank - last_rank AS rank_gain, last_ord <> latest AS left_top10, first_ord = latest AND latest > first_seen AS entered FROM one JOIN span USING (server)),
-p1 AS (SELECT *, {an.TREND} AS trend, {an.HEALTH} AS health FROM p0),
-profile AS (SELECT *, {an.TREND_CONFIDENCE} AS trend_confidence, {an.HEALTH_STATUS} AS health_status, {an.HEALTH_RISK} AS health_risk FROM p1),
+pm AS (SELECT *, points >= 2 AND first_total > 0 AND abs(power_pct) >= 5 AS pmoved, points >= 2 AND rank_gain <> 0 AS rmoved FROM p0),
+p1 AS (SELECT *, CASE WHEN points < 3 THEN 'COLLAPSING' WHEN max_drop <= -10 AND power_pct > 0 THEN 'RECOVERING' WHEN power_pct >= 15 AND volatility < 15 THEN 'GROWING'
+    WHEN power_pct <= -10 THEN 'DECLINING' WHEN abs(power_pct) < 5 THEN 'STABLE' WHEN volatility > 20 THEN 'VOLATILE' ELSE 'UNKNOWN' END AS trend,
+  least(100, greatest(0, 70 - 45 * left_top10::INT + 18 * entered::INT - 20 * (last_ord < latest)::INT
+    + (CASE WHEN NOT pmoved THEN 0 WHEN power_pct >= 25 THEN 20 WHEN power_pct >= 10 THEN 10 WHEN power_pct <= -25 THEN -30 WHEN power_pct <= -10 THEN -18 ELSE 0 END)
+    + (CASE WHEN NOT rmoved THEN 0 WHEN rank_gain >= 3 THEN 8 WHEN rank_gain <= -3 THEN -12 ELSE 0 END))) AS health FROM pm),
+profile AS (SELECT *, CASE trend WHEN 'COLLAPSING' THEN 95 WHEN 'RECOVERING' THEN 92 WHEN 'GROWING' THEN 90 WHEN 'DECLINING' THEN 88 WHEN 'STABLE' THEN 85 WHEN 'VOLATILE' THEN 83 ELSE 70 END AS trend_confidence,
+  CASE WHEN health < 30 THEN 'Critical' WHEN health < 50 THEN 'Declining' WHEN health < 70 THEN 'Unstable' WHEN health < 85 THEN 'Healthy' ELSE 'Excellent' END AS health_status,
+  CASE WHEN health < 50 THEN 'HIGH' WHEN health < 75 THEN 'MEDIUM' ELSE 'LOW' END AS health_risk,
+  CASE WHEN pmoved THEN (CASE WHEN power_pct >= 15 THEN 'Growing' WHEN power_pct <= -15 THEN 'Declining' ELSE 'Mixed' END) ELSE 'Stable' END AS health_trend FROM p1),
 events AS (
   SELECT server, entity, 'LEFT_TOP10' AS event_type, 'HIGH' AS severity, 90 AS confidence FROM profile WHERE left_top10
   UNION ALL SELECT server, entity, 'ENTERED_TOP10', CASE WHEN last_rank <= 5 THEN 'HIGH' ELSE 'MEDIUM' END, 90 FROM profile WHERE entered
-  UNION ALL SELECT server, entity, 'RANK_CHANGED', {an.RANK_SEVERITY}, 85 FROM profile WHERE points >= 2 AND rank_gain <> 0
-  UNION ALL SELECT server, entity, 'POWER_CHANGED', {an.POWER_SEVERITY}, 85 FROM profile WHERE points >= 2 AND first_total > 0 AND abs(power_pct) >= 5)
+  UNION ALL SELECT server, entity, 'RANK_CHANGED', CASE WHEN abs(rank_gain) < 3 THEN 'LOW' WHEN abs(rank_gain) < 5 THEN 'MEDIUM' ELSE 'HIGH' END, 85 FROM profile WHERE rmoved
+  UNION ALL SELECT server, entity, 'POWER_CHANGED', CASE WHEN abs(power_pct) < 8 THEN 'LOW' WHEN abs(power_pct) < 15 THEN 'MEDIUM' WHEN abs(power_pct) < 30 THEN 'HIGH' ELSE 'CRITICAL' END, 85 FROM profile WHERE pmoved)
+"""
+_TARGETS = _PROFILE + _SCORES + """, rated AS (SELECT p.*, s.overall_score, s.player_score, s.growth_pct, s.volatility AS server_volatility,
+   least(100, CASE health_status WHEN 'Critical' THEN 40 + 20 WHEN 'Declining' THEN 25 + 10 WHEN 'Unstable' THEN 10 ELSE 0 END + CASE health_trend WHEN 'Declining' THEN 15 WHEN 'Mixed' THEN 5 ELSE 0 END
+     + CASE health_risk WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 5 ELSE 0 END + CASE WHEN overall_score >= 55 THEN 10 ELSE 0 END + CASE WHEN player_score >= 65 THEN 10 ELSE 0 END) AS priority,
+   least(100, 40 + CASE health_status WHEN 'Critical' THEN 20 + 15 WHEN 'Declining' THEN 15 + 10 WHEN 'Unstable' THEN 8 ELSE 0 END + CASE health_trend WHEN 'Declining' THEN 10 ELSE 0 END
+     + CASE health_risk WHEN 'HIGH' THEN 10 ELSE 0 END + CASE WHEN overall_score >= 55 THEN 5 ELSE 0 END + CASE WHEN player_score >= 65 THEN 5 ELSE 0 END) AS target_confidence
+   FROM profile p JOIN scores s USING (server)),
+acted AS (SELECT *, CASE WHEN priority < 30 THEN 'Ignore' WHEN priority < 50 THEN 'Watch' WHEN priority < 70 THEN 'Monitor closely' WHEN priority < 85 THEN 'High priority' ELSE 'Contact immediately' END AS action FROM rated),
+targets AS (SELECT * FROM acted WHERE priority > 0)
 """
-_TARGETS = _PROFILE + _SCORES + f", targets0 AS (SELECT profile.*, overall_score, player_score, {an.PRIORITY} AS priority FROM profile JOIN (SELECT server, overall_score, player_score FROM scores) s USING (server)), targets AS (SELECT *, {an.ACTION} AS action FROM targets0 WHERE priority > 0)\n"
 
 
 def score_query(name: str, columns: list[str]) -> None:
@@ -61,11 +77,19 @@ score_query("score_player", ["players", "elite_300", "elite_320", "elite_350", "
 score_query("score_stability", ["points", "stability_score"])
 B.add("gini", lambda f: scores(f).select("server", F.round("gini", 6).alias("gini")), _SCORES + "SELECT server, round(gini, 6) AS gini FROM scores")
 B.add("score_overall", lambda f: scores(f).select("server", *an.WEIGHTS, "overall_score"), _SCORES + f"SELECT server, {', '.join(an.WEIGHTS)}, overall_score FROM scores")
-B.add("server_dna", lambda f: scores(f).select("server", F.expr(an.TRAIT).alias("trait"), F.expr(an.RISK).alias("risk")), _SCORES + f"SELECT server, {an.TRAIT} AS trait, {an.RISK} AS risk FROM scores")
+B.add("server_dna", lambda f: scores(f).select("server", *[F.expr(an.graded(f"{n}_score", t)).alias(f"{n}_trait") for n, t in an.TRAITS.items()], F.expr(an.graded("overall_score", an.RISK_LIMITS)).alias("risk"), F.expr(an.graded("overall_score", an.ADVICE)).alias("advice")),
+      _SCORES + """SELECT server,
+   CASE WHEN growth_score < 45 THEN 'Weak Growth' WHEN growth_score < 65 THEN 'Moderate Growth' WHEN growth_score < 85 THEN 'Growing' ELSE 'Explosive Growth' END AS growth_trait,
+   CASE WHEN power_score < 45 THEN 'Low Power' WHEN power_score < 65 THEN 'Medium Power' WHEN power_score < 85 THEN 'Strong' ELSE 'Powerhouse' END AS power_trait,
+   CASE WHEN depth_score < 45 THEN 'Top Heavy' WHEN depth_score < 60 THEN 'Moderate Alliance Structure' WHEN depth_score < 80 THEN 'Balanced Alliance Structure' ELSE 'Deep Alliance Structure' END AS depth_trait,
+   CASE WHEN player_score < 45 THEN 'Weak Player Base' WHEN player_score < 65 THEN 'Average Player Base' WHEN player_score < 85 THEN 'Strong Player Base' ELSE 'Elite Player Base' END AS player_trait,
+   CASE WHEN stability_score < 45 THEN 'Highly Volatile' WHEN stability_score < 65 THEN 'Some Volatility' WHEN stability_score < 85 THEN 'Stable' ELSE 'Extremely Stable' END AS stability_trait,
+   CASE WHEN overall_score < 55 THEN 'HIGH' WHEN overall_score < 75 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+   CASE WHEN overall_score < 40 THEN 'Avoid unless there are special reasons' WHEN overall_score < 55 THEN 'Risky Target' WHEN overall_score < 70 THEN 'Situational Target' WHEN overall_score < 85 THEN 'Strong Transfer Target' ELSE 'Excellent Transfer Target' END AS advice
+ FROM scores""")
 B.add("recruitment_class", lambda f: scores(f).select("server", F.expr(an.STARS).alias("stars")), _SCORES + f"SELECT server, {an.STARS} AS stars FROM scores")
-_ICON = "CASE WHEN growth_pct >= 10 THEN 'up' WHEN growth_pct <= -10 THEN 'down' ELSE 'flat' END"
-B.add("trend_icon", lambda f: scores(f).select("server", F.expr(_ICON).alias("icon"), F.format_string("%.2fB", F.col("last_total") / F.lit(1e9)).alias("shown")),
-      _SCORES + f"SELECT server, {_ICON} AS icon, format('{{:.2f}}B', last_total / 1e9) AS shown FROM scores")
+B.add("trend_icon", lambda f: scores(f).select("server", F.expr(an.graded("growth_pct", an.ICONS)).alias("icon"), F.format_string("%.2fB", F.col("last_total") / F.lit(1e9)).alias("shown")),
+      _SCORES + "SELECT server, CASE WHEN growth_pct <= -15 THEN 'skull' WHEN growth_pct <= -5 THEN 'falling' WHEN growth_pct < 5 THEN 'flat' WHEN growth_pct < 15 THEN 'up' WHEN growth_pct < 30 THEN 'rising' ELSE 'rocket' END AS icon, format('{:.2f}B', last_total / 1e9) AS shown FROM scores")
 B.add("overall_rank_top30", lambda f: scores(f).where("overall_score > 0").orderBy(F.desc("overall_score"), "server").limit(30).select("server", "overall_score"),
       _SCORES + "SELECT server, overall_score FROM scores WHERE overall_score > 0 ORDER BY overall_score DESC, server LIMIT 30")
 B.add("growth_rank_topbottom", lambda f: scores(f).select("server", "growth_score").orderBy(F.desc("growth_score"), "server").limit(20).withColumn("side", F.lit("top")).unionByName(
@@ -80,7 +104,7 @@ def profile_query(name: str, columns: list[str]) -> None:
 
 profile_query("timeline_metrics", ["points", "max_gain", "max_drop", "volatility", "power_pct", "rank_gain"])
 profile_query("timeline_trend", ["trend", "trend_confidence"])
-profile_query("alliance_health", ["health", "health_status", "health_risk"])
+profile_query("alliance_health", ["health", "health_status", "health_risk", "health_trend"])
 
 
 def event_query(name: str, kind: str) -> None:
@@ -96,52 +120,69 @@ def targets(f: Frames):
     return an.recruitment_targets(profile(f), scores(f))
 
 
-B.add("recruitment_target", lambda f: targets(f).where("server = 551").select(*P, "priority", "action"), _TARGETS + "SELECT server, entity, priority, action FROM targets WHERE server = 551")
-B.add("recruitment_all", lambda f: targets(f).select(*P, "priority", "action"), _TARGETS + "SELECT server, entity, priority, action FROM targets")
-B.add("recruitment_rules", lambda f: an.recruitment_rules(profile(f)).select(*P, "score", "confidence", "matched"), _PROFILE + f"SELECT server, entity, {an.RULE_SCORE} AS score, {an.RULE_CONFIDENCE} AS confidence, {an.RULE_HITS} AS matched FROM profile")
+B.add("recruitment_target", lambda f: targets(f).where("server = 551").select(*P, "priority", "action", "target_confidence"), _TARGETS + "SELECT server, entity, priority, action, target_confidence FROM targets WHERE server = 551")
+B.add("recruitment_all", lambda f: targets(f).select(*P, "priority", "action", "target_confidence"), _TARGETS + "SELECT server, entity, priority, action, target_confidence FROM targets")
 _ASSESS = "least(12 * n, 60) + least(10 * high, 30) + CASE WHEN n > 0 THEN 10 ELSE 0 END"
 B.add("health_assessment", lambda f: an.alliance_events(profile(f)).groupBy(*P).agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("high")).withColumn("confidence", F.expr(_ASSESS)),
       _PROFILE + f"SELECT server, entity, n, high, {_ASSESS} AS confidence FROM (SELECT server, entity, count(*) AS n, count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) AS high FROM events GROUP BY ALL)")
 
 
 def signals(f: Frames):
-    e = an.alliance_events(profile(f)).groupBy("server").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")], F.count("*").alias("events"))
-    p = profile(f).groupBy("server").agg(F.count("*").alias("alliances"), *[F.count_if(F.col("trend") == t).alias(t.lower()) for t in ("COLLAPSING", "GROWING", "DECLINING", "RECOVERING")], F.count_if(F.col("health") < 50).alias("weak"), F.count_if(F.col("health") >= 80).alias("strong"))
-    return p.join(e, "server", "left").fillna(0)
-
-
-_SIGNALS = _PROFILE + """, sig AS (SELECT p.*, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(events, 0) AS events FROM
- (SELECT server, count(*) AS alliances, count(*) FILTER (WHERE trend = 'COLLAPSING') AS collapsing, count(*) FILTER (WHERE trend = 'GROWING') AS growing, count(*) FILTER (WHERE trend = 'DECLINING') AS declining, count(*) FILTER (WHERE trend = 'RECOVERING') AS recovering, count(*) FILTER (WHERE health < 50) AS weak, count(*) FILTER (WHERE health >= 80) AS strong FROM profile GROUP BY 1) p
- LEFT JOIN (SELECT server, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) AS events FROM events GROUP BY 1) e USING (server))
+    return an.signal_context(an.with_priority(profile(f), scores(f)))
+
+
+CONTEXT = [
+    "event_count", "high_impact_events", "medium_impact_events", "low_impact_events", "left_top10_count", "entered_top10_count", "power_change_count", "large_power_loss_count", "large_power_gain_count", "rank_change_count",
+    "alliance_count", "critical_alliances", "declining_alliances", "unstable_alliances", "healthy_alliances", "excellent_alliances", "high_risk_alliances", "medium_risk_alliances", "low_risk_alliances",
+    "recruitment_target_count", "immediate_targets", "high_priority_targets", "watch_targets", "overall", "player",
+]
+_SIGNALS = _TARGETS + """, ev AS (SELECT server, count(*) AS event_count, count(*) FILTER (severity = 'CRITICAL') AS critical_events, count(*) FILTER (severity IN ('HIGH', 'CRITICAL')) AS high_impact_events,
+   count(*) FILTER (severity = 'MEDIUM') AS medium_impact_events, count(*) FILTER (severity = 'LOW') AS low_impact_events, count(*) FILTER (event_type = 'LEFT_TOP10') AS left_top10_count, count(*) FILTER (event_type = 'ENTERED_TOP10') AS entered_top10_count,
+   count(*) FILTER (event_type = 'POWER_CHANGED') AS power_change_count, count(*) FILTER (event_type = 'RANK_CHANGED') AS rank_change_count FROM events GROUP BY 1),
+al AS (SELECT server, count(*) AS alliance_count, count(*) FILTER (pmoved AND power_pct <= -10) AS large_power_loss_count, count(*) FILTER (pmoved AND power_pct >= 15) AS large_power_gain_count,
+   count(*) FILTER (health_status = 'Critical') AS critical_alliances, count(*) FILTER (health_status = 'Declining') AS declining_alliances, count(*) FILTER (health_status = 'Unstable') AS unstable_alliances,
+   count(*) FILTER (health_status = 'Healthy') AS healthy_alliances, count(*) FILTER (health_status = 'Excellent') AS excellent_alliances, count(*) FILTER (health_risk = 'HIGH') AS high_risk_alliances,
+   count(*) FILTER (health_risk = 'MEDIUM') AS medium_risk_alliances, count(*) FILTER (health_risk = 'LOW') AS low_risk_alliances, count(*) FILTER (priority > 0) AS recruitment_target_count,
+   count(*) FILTER (action = 'Contact immediately') AS immediate_targets, count(*) FILTER (action = 'High priority') AS high_priority_targets, count(*) FILTER (action = 'Watch') AS watch_targets,
+   count(*) FILTER (trend = 'COLLAPSING') AS collapsing, count(*) FILTER (trend = 'GROWING') AS growing, count(*) FILTER (trend = 'DECLINING') AS declining, count(*) FILTER (trend = 'RECOVERING') AS recovering,
+   count(*) FILTER (health < 50) AS weak, count(*) FILTER (health >= 80) AS strong, max(overall_score) AS overall, max(player_score) AS player, max(growth_pct) AS growth, max(server_volatility) AS volatility FROM acted GROUP BY 1),
+sig AS (SELECT al.*, coalesce(event_count, 0) AS event_count, coalesce(critical_events, 0) AS critical_events, coalesce(high_impact_events, 0) AS high_impact_events, coalesce(medium_impact_events, 0) AS medium_impact_events, coalesce(low_impact_events, 0) AS low_impact_events,
+   coalesce(left_top10_count, 0) AS left_top10_count, coalesce(entered_top10_count, 0) AS entered_top10_count, coalesce(power_change_count, 0) AS power_change_count, coalesce(rank_change_count, 0) AS rank_change_count FROM al LEFT JOIN ev USING (server))
 """
-B.add("signal_context", signals, _SIGNALS + "SELECT * FROM sig")
-#: Insight rules over the signals of a server: (title, category, condition, priority, confidence).
-INSIGHTS = (
-    ("Many alliances collapse", "RISK", "collapsing >= 3", 90, 88), ("Critical power shifts", "RISK", "critical >= 1", 85, 85), ("Alliances decline", "RISK", "declining >= 2", 70, 80),
-    ("Alliances grow", "GROWTH", "growing >= 2", 65, 80), ("Recoveries under way", "GROWTH", "recovering >= 1", 60, 75), ("Weak alliances to approach", "RECRUITMENT", "weak >= 3", 80, 82), ("Strong core", "STABILITY", "strong >= 5", 50, 78),
-)
+B.add("signal_context", lambda f: signals(f).select("server", *CONTEXT), _SIGNALS + f"SELECT server, {', '.join(CONTEXT)} FROM sig")
+B.add("recruitment_rules", lambda f: an.recruitment_rules(signals(f)), _SIGNALS + """, hit AS (SELECT server, left_top10_count > 0 AS a, large_power_loss_count > 0 AS b, volatility >= 8 AS c, overall >= 55 AS d, player >= 65 AS e, overall < 40 AND player < 65 AS f, growth >= 10 AND volatility < 8 AS g,
+   left_top10_count AS na, large_power_loss_count AS nb FROM sig)
+ SELECT server, least(100, greatest(0, 25 * a::INT + 25 * b::INT + 20 * c::INT + 15 * d::INT + 15 * e::INT - 25 * f::INT - 20 * g::INT)) AS score,
+   least(60, 15 * (a::INT + b::INT + c::INT + d::INT + e::INT + f::INT + g::INT)) + least(40, 8 * (na + nb + c::INT + d::INT + e::INT + 2 * f::INT + 2 * g::INT)) AS confidence,
+   a::INT + b::INT + c::INT + d::INT + e::INT + f::INT + g::INT AS matched FROM hit""")
 
 
 def insights(f: Frames):
-    cells = F.array_compact(F.array(*[F.when(F.expr(c), F.struct(F.lit(t).alias("title"), F.lit(g).alias("category"), F.lit(p).alias("priority"), F.lit(q).alias("confidence"))) for t, g, c, p, q in INSIGHTS]))
-    return signals(f).select("server", F.explode(cells).alias("i")).select("server", "i.*")
-
-
-_INSIGHTS = _SIGNALS + ", ins AS (" + " UNION ALL ".join(f"SELECT server, '{t}' AS title, '{g}' AS category, {p} AS priority, {q} AS confidence FROM sig WHERE {c}" for t, g, c, p, q in INSIGHTS) + ")\n"
+    return an.insights(signals(f))
+
+
+_LEVEL = "CASE priority WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
+_INSIGHTS = _SIGNALS + """, ins AS (
+   SELECT server, 'Strong Server' AS title, 'GROWTH' AS category, 'MEDIUM' AS priority, 94 AS confidence, 58 AS impact FROM sig WHERE overall >= 70 AND growth >= 10
+   UNION ALL SELECT server, 'Internal Restructuring', 'RISK', 'HIGH', 96, 82 FROM sig WHERE left_top10_count >= 2 AND critical_alliances >= 2
+   UNION ALL SELECT server, 'Recruitment Opportunity', 'RECRUITMENT', 'HIGH', 92, 82 FROM sig WHERE immediate_targets >= 2
+   UNION ALL SELECT server, 'Alliance Growth', 'COMPETITION', 'MEDIUM', 90, 58 FROM sig WHERE large_power_gain_count >= 2
+   UNION ALL SELECT server, 'High Volatility', 'RISK', 'MEDIUM', 88, 58 FROM sig WHERE volatility >= 10
+   UNION ALL SELECT server, 'Weak Server', 'RISK', 'HIGH', 87, 82 FROM sig WHERE overall < 40
+   UNION ALL SELECT server, 'Healthy Environment', 'STABILITY', 'LOW', 91, 25 FROM sig WHERE critical_alliances = 0 AND growth >= 10 AND volatility < 8)
+"""
 B.add("insight_rules", insights, _INSIGHTS + "SELECT * FROM ins")
 B.add("topic_build", lambda f: insights(f).groupBy("server", "category").agg(
-        F.max(F.struct("priority", "confidence", "title")).alias("m"), F.count("*").alias("n"), F.sum("confidence").alias("c")).select("server", "category", F.col("m.title").alias("primary_title"), "n", F.round(F.col("c") / F.col("n"), 4).alias("mean_confidence")),
-      _INSIGHTS + "SELECT server, category, arg_max(title, (priority, confidence, title)) AS primary_title, count(*) AS n, round(sum(confidence)::DOUBLE / count(*), 4) AS mean_confidence FROM ins GROUP BY ALL")
-B.add("topic_sort", lambda f: insights(f).withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc("priority"), F.desc("confidence"), "title"))),
-      _INSIGHTS + "SELECT *, row_number() OVER (PARTITION BY server ORDER BY priority DESC, confidence DESC, title) AS place FROM ins")
-B.add("feed_filter", lambda f: insights(f).withColumn("impact", F.expr("CASE WHEN priority >= 85 THEN 95 WHEN priority >= 70 THEN 82 WHEN priority >= 60 THEN 58 ELSE 25 END")).where("impact >= 70"),
-      _INSIGHTS + "SELECT *, CASE WHEN priority >= 85 THEN 95 WHEN priority >= 70 THEN 82 WHEN priority >= 60 THEN 58 ELSE 25 END AS impact FROM ins WHERE priority >= 70")
-B.add("intelligence_feed", lambda f: insights(f).withColumn("impact", F.expr("CASE WHEN priority >= 85 THEN 95 WHEN priority >= 70 THEN 82 WHEN priority >= 60 THEN 58 ELSE 25 END")).groupBy("server").agg(F.max("impact").alias("impact"), F.count("*").alias("items")),
-      _INSIGHTS + "SELECT server, max(CASE WHEN priority >= 85 THEN 95 WHEN priority >= 70 THEN 82 WHEN priority >= 60 THEN 58 ELSE 25 END) AS impact, count(*) AS items FROM ins GROUP BY 1")
+        F.max(F.struct(F.expr(_LEVEL).alias("level"), "confidence", "title")).alias("m"), F.count("*").alias("n"), F.sum("confidence").alias("c")).select("server", "category", F.col("m.title").alias("primary_title"), "n", F.round(F.col("c") / F.col("n"), 4).alias("mean_confidence")),
+      _INSIGHTS + "SELECT server, category, arg_max(title, ((impact, confidence, title))) AS primary_title, count(*) AS n, round(sum(confidence)::DOUBLE / count(*), 4) AS mean_confidence FROM ins GROUP BY ALL")
+B.add("topic_sort", lambda f: insights(f).withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc(F.expr(_LEVEL)), F.desc("confidence"), "title"))),
+      _INSIGHTS + "SELECT *, row_number() OVER (PARTITION BY server ORDER BY impact DESC, confidence DESC, title) AS place FROM ins")
+B.add("feed_filter", lambda f: insights(f).where("impact >= 70"), _INSIGHTS + "SELECT * FROM ins WHERE priority IN ('HIGH', 'CRITICAL')")
+B.add("intelligence_feed", lambda f: insights(f).groupBy("server").agg(F.max("impact").alias("impact"), F.count("*").alias("items")), _INSIGHTS + "SELECT server, max(impact) AS impact, count(*) AS items FROM ins GROUP BY 1")
 _VIEW = "CASE WHEN mean < 70 THEN 'weak' WHEN mean < 80 THEN 'watch' ELSE 'strong' END"
 B.add("brief_sections", lambda f: profile(f).groupBy("server").agg((F.sum("health").cast("double") / F.count("*")).alias("mean")).select("server", F.expr(_VIEW).alias("section"), F.round("mean", 2).alias("mean_health")),
       _PROFILE + f"SELECT server, {_VIEW} AS section, round(mean, 2) AS mean_health FROM (SELECT server, sum(health)::DOUBLE / count(*) AS mean FROM profile GROUP BY 1)")
-_DASH = "least(100, 15 * critical + 7 * high + 3 * medium)"
+_DASH = "least(100, 15 * critical_events + 7 * (high_impact_events - critical_events) + 3 * medium_impact_events)"
 B.add("dashboard", lambda f: signals(f).select("server", F.expr(_DASH).alias("risk"), F.expr(f"100 - {_DASH}").alias("health"), F.expr("least(100, 35 + 15 * growing)").alias("progress"), F.expr("least(100, 70 + 8 * strong)").alias("success")),
       _SIGNALS + f"SELECT server, {_DASH} AS risk, 100 - {_DASH} AS health, least(100, 35 + 15 * growing) AS progress, least(100, 70 + 8 * strong) AS success FROM sig")
 B.add("server_overview", lambda f: signals(f).select("server", F.expr("least(100, 12 * collapsing)").alias("risk"), F.expr("least(100, 14 * weak)").alias("opportunity")),
@@ -156,20 +197,20 @@ B.add("outlook_engine", lambda f: profile(f).withColumn("c", F.expr(_HYP)).where
       _PROFILE + f"SELECT server, count(*) FILTER (WHERE c = 96) AS risks, count(*) FILTER (WHERE c = 90) AS opportunities, max(c) AS confidence FROM (SELECT server, {_HYP} AS c FROM profile) WHERE c IS NOT NULL GROUP BY 1")
 B.add("situation", lambda f: an.alliance_events(profile(f)).withColumn("weight", F.expr(an.SEVERITY_ORDER)).groupBy(*P).agg(F.max(F.struct("weight", "event_type")).alias("m"), F.round(F.sum("confidence") / F.count("*"), 4).alias("mean_confidence")).select(*P, F.col("m.event_type").alias("leading"), "mean_confidence"),
       _PROFILE + f"SELECT server, entity, arg_max(event_type, ({an.SEVERITY_ORDER}, event_type)) AS leading, round(sum(confidence)::DOUBLE / count(*), 4) AS mean_confidence FROM events GROUP BY ALL")
-B.add("ranking_recruitment", lambda f: targets(f).withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc("priority"), F.desc("trend_confidence"), "entity"))).select(*P, "priority", "place"),
-      _TARGETS + "SELECT server, entity, priority, row_number() OVER (PARTITION BY server ORDER BY priority DESC, trend_confidence DESC, entity) AS place FROM targets")
+B.add("ranking_recruitment", lambda f: targets(f).withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc("priority"), F.desc("target_confidence"), "entity"))).select(*P, "priority", "place"),
+      _TARGETS + "SELECT server, entity, priority, row_number() OVER (PARTITION BY server ORDER BY priority DESC, target_confidence DESC, entity) AS place FROM targets")
 B.add("ranking_growth", lambda f: profile(f).withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc("power_pct"), "entity"))).select(*P, "power_pct", "place"),
       _PROFILE + "SELECT server, entity, power_pct, row_number() OVER (PARTITION BY server ORDER BY power_pct DESC, entity) AS place FROM profile")
 B.add("ranking_sorts", lambda f: targets(f).orderBy(F.desc("priority"), F.desc("trend_confidence"), "server", "entity").limit(50).select(*P, "priority"),
       _TARGETS + "SELECT server, entity, priority FROM targets ORDER BY priority DESC, trend_confidence DESC, server, entity LIMIT 50")
-B.add("campaign_plan", lambda f: targets(f).withColumn("phase", F.expr("CASE WHEN priority >= 90 THEN 1 WHEN priority >= 70 THEN 2 END")).where("phase is not null").groupBy("server", "phase").agg(F.count("*").alias("targets"), F.count_if(F.col("health_risk") == "High").alias("risks")),
-      _TARGETS + "SELECT server, CASE WHEN priority >= 90 THEN 1 ELSE 2 END AS phase, count(*) AS targets, count(*) FILTER (WHERE health_risk = 'High') AS risks FROM targets WHERE priority >= 70 GROUP BY ALL")
+B.add("campaign_plan", lambda f: targets(f).withColumn("phase", F.expr("CASE WHEN priority >= 90 THEN 1 WHEN priority >= 70 THEN 2 END")).where("phase is not null").groupBy("server", "phase").agg(F.count("*").alias("targets"), F.count_if(F.col("health_risk") == "HIGH").alias("risks")),
+      _TARGETS + "SELECT server, CASE WHEN priority >= 90 THEN 1 ELSE 2 END AS phase, count(*) AS targets, count(*) FILTER (WHERE health_risk = 'HIGH') AS risks FROM targets WHERE priority >= 70 GROUP BY ALL")
 _STATE = "CASE WHEN quality >= 100 THEN 'READY' WHEN quality >= 70 THEN 'PARTIAL' ELSE 'INCOMPLETE' END"
 B.add("server_landscape", lambda f: f.star.where("rank <= 10").groupBy("server", "ord", "ranking_type").agg(F.countDistinct("rank").alias("n")).groupBy("server").agg(F.round(F.sum("n") * 10.0 / F.count("*"), 2).alias("quality")).withColumn("state", F.expr(_STATE)),
       f"SELECT *, {_STATE} AS state FROM (SELECT server, round(sum(n) * 10.0::DOUBLE / count(*), 2) AS quality FROM (SELECT server, ord, ranking_type, count(DISTINCT rank) AS n FROM star WHERE rank <= 10 GROUP BY ALL) GROUP BY 1)")
-B.add("entity_report", lambda f: profile(f).join(an.alliance_events(profile(f)).groupBy(*P).agg(F.count("*").alias("events")), P, "left").join(targets(f).select(*P, "priority"), P, "left").select(*P, "points", "trend", "health", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("priority", F.lit(0)).alias("priority")),
-      _TARGETS + "SELECT p.server, p.entity, p.points, p.trend, p.health, coalesce(e.n, 0) AS events, coalesce(t.priority, 0) AS priority FROM profile p LEFT JOIN (SELECT server, entity, count(*) AS n FROM events GROUP BY ALL) e ON p.server = e.server AND p.entity = e.entity LEFT JOIN targets t ON p.server = t.server AND p.entity = t.entity")
+B.add("entity_report", lambda f: an.with_priority(profile(f), scores(f)).select(*P, "points", "trend", "health", F.expr("int(left_top10) + int(entered) + int(rank_moved) + int(power_moved)").alias("events"), "priority"),
+      _TARGETS + "SELECT p.server, p.entity, p.points, p.trend, p.health, coalesce(e.n, 0) AS events, p.priority FROM acted p LEFT JOIN (SELECT server, entity, count(*) AS n FROM events GROUP BY ALL) e ON p.server = e.server AND p.entity = e.entity")
 B.add("weighted_score", lambda f: targets(f).select(*P, F.round(F.col("priority") * F.col("trend_confidence") / 100.0, 4).alias("weighted")), _TARGETS + "SELECT server, entity, round(priority * trend_confidence / 100.0::DOUBLE, 4) AS weighted FROM targets")
-B.add("server_signal_sort", lambda f: insights(f).orderBy("server", F.desc("priority"), F.desc("confidence"), "title").select("server", "title", "priority"), _INSIGHTS + "SELECT server, title, priority FROM ins")
+B.add("server_signal_sort", lambda f: insights(f).orderBy("server", F.desc("impact"), F.desc("confidence"), "title").select("server", "title", "priority"), _INSIGHTS + "SELECT server, title, priority FROM ins")
 
 QUERIES, SQL = B.queries, B.sql

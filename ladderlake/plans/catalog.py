@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderlake.plans import analytics, dq, evidence, quality, reasoning, warehouse
+from ladderlake.plans import analytics, dq, evidence, lookups, quality, reasoning, warehouse
 
-_MODULES = (dq, warehouse, analytics, reasoning, quality, evidence)
+_MODULES = (dq, warehouse, analytics, reasoning, quality, evidence, lookups)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

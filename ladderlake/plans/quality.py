@@ -9,6 +9,7 @@ from ladderlake.functions import text as tx
 from ladderlake.operators import guards as gd
 from ladderlake.operators import rows as rw
 from ladderlake.operators import validate as va
+from ladderlake.operators.ranks import place_within
 from ladderlake.plans.base import Book, Frames
 
 B = Book()
@@ -53,7 +54,7 @@ _KW = "100 * CAST(source_file LIKE '%ally%' AS INT) + 80 * CAST(source_file LIKE
 add("ranking_type_detect", lambda f: f.entries.select("source_file").distinct().withColumn("score", F.expr(_KW)), f"SELECT DISTINCT source_file, {_KW} AS score FROM ent")
 add("server_extract", lambda f: f.entries.select("source_file").distinct().withColumn("found", F.regexp_extract("source_file", r"(?:^|s)([0-9]{3,4})[-_@]", 1)).where("found <> ''").select("source_file", F.col("found").cast("int").alias("server")),
     "SELECT DISTINCT source_file, CAST(regexp_extract(source_file, '(?:^|s)([0-9]{3,4})[-_@]', 1) AS INT) AS server FROM ent WHERE regexp_matches(source_file, '(?:^|s)([0-9]{3,4})[-_@]')")
-add("player_entries", lambda f: f.t("player_rankings").withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc("power"), "entry_id"))).select("entry_id", "place", F.coalesce("rank", "place").alias("shown_rank")),
+add("player_entries", lambda f: place_within(f.t("player_rankings").select("entry_id", "server", "rank", "power"), "server", [F.desc("power"), F.col("entry_id")]).select("entry_id", "place", F.coalesce("rank", "place").alias("shown_rank")),
     "SELECT entry_id, row_number() OVER (PARTITION BY server ORDER BY power DESC, entry_id) AS place, coalesce(rank, row_number() OVER (PARTITION BY server ORDER BY power DESC, entry_id)) AS shown_rank FROM player_rankings")
 add("identity_lock", lambda f: f.entries.select("row_id", F.coalesce("player_name", "name").alias("locked_name")), "SELECT row_id, coalesce(player_name, name) AS locked_name FROM ent")
 
@@ -62,28 +63,34 @@ add("server_assignment", lambda f: gd.server_assignment(f.entries),
     """, v AS (SELECT snapshot_id, CAST(regexp_extract(source_file, '(?:^|s)([0-9]{3,4})[-_@]', 1) AS INT) AS voted, count(*) AS votes FROM ent WHERE regexp_matches(source_file, '(?:^|s)([0-9]{3,4})[-_@]') GROUP BY ALL),
     b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY votes DESC, voted) = 1), m AS (SELECT snapshot_id, min(server) AS server FROM ent GROUP BY 1)
     SELECT m.snapshot_id, server, CASE WHEN votes >= 3 THEN voted ELSE server END AS assigned, coalesce(votes >= 3, false) AS by_vote, CASE WHEN votes >= 3 THEN voted ELSE server END <> server AS conflict FROM m LEFT JOIN b USING (snapshot_id)""")
-_FIT = f"CASE WHEN ranking_type = 'total_hero_power' THEN {gd.HERO_FIT} ELSE {gd.ALLY_FIT} END"
+_FIT = """CASE WHEN ranking_type = 'total_hero_power' THEN 60 * coalesce(power >= 1000000 AND power <= 1000000000, false)::INT + 40 * (player_name IS NOT NULL)::INT
+   ELSE 60 * coalesce(power > 1000000000, false)::INT + 40 * (player_name IS NULL)::INT END"""
+_JUDGED = "CASE WHEN power IS NULL THEN 'placeholder' WHEN fit < 40 THEN 'quarantine' WHEN fit < 60 THEN 'calibrated_pass' ELSE 'pass' END"
+_SANE = """CASE WHEN power IS NULL THEN 'missing' WHEN NOT power > 0 THEN 'quarantine_nonpositive' WHEN median_power > 0 AND rank > 3 AND power / 3::DOUBLE > median_power THEN 'quarantine_high'
+   WHEN median_power > 0 AND power * 5::DOUBLE < median_power THEN 'quarantine_low' WHEN power / 1.5::DOUBLE > previous_power THEN 'review_order' ELSE 'pass' END"""
+_RISKY = "CASE (rank_warning IS NOT NULL)::INT + (server_warning IS NOT NULL)::INT WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE CASE WHEN name IS NULL THEN 'medium' ELSE 'low' END END"
+_SHOWS = "CASE WHEN ocr_rank IS NULL THEN CASE WHEN rank IS NULL THEN 'source_row_only' ELSE 'derived' END WHEN rank IS NOT DISTINCT FROM ocr_rank THEN 'explicit' ELSE 'conflict' END"
 add("ranking_guard", lambda f: gd.ranking_guard(f.entries),
-    f""", g AS (SELECT *, {gd.VERDICT} AS verdict FROM (SELECT *, {_FIT} AS fit FROM ent))
+    f""", g AS (SELECT *, {_JUDGED} AS verdict FROM (SELECT *, {_FIT} AS fit FROM ent))
     SELECT row_id, fit, verdict, lane AS out_lane, power AS out_power FROM g WHERE verdict <> 'quarantine' UNION ALL SELECT row_id, fit, verdict, 'operational', NULL FROM g WHERE verdict = 'quarantine' UNION ALL SELECT row_id, fit, verdict, 'ranking_guard_quarantine', power FROM g WHERE verdict = 'quarantine'""")
 _REC = "CASE WHEN lane = 'ranking_guard_quarantine' AND power > 0 AND rank_warning IS NULL THEN 'recovered' WHEN lane = 'operational' AND rank_warning IS NOT NULL THEN 'calibrated_pass' WHEN lane LIKE '%quarantine' THEN 'quarantine' ELSE 'pass' END"
 add("ranking_recovery", lambda f: f.entries.select("row_id", F.expr(_REC).alias("decision")), f"SELECT row_id, {_REC} AS decision FROM ent")
 add("power_sanity_rules", lambda f: gd.power_sanity(f.entries).select("row_id", "decision"),
-    f"SELECT row_id, {gd.SANITY} AS decision FROM (SELECT *, quantile_cont(power, 0.5) OVER (PARTITION BY snapshot_id, source_file) AS median_power, lag(power) OVER (PARTITION BY snapshot_id, source_file ORDER BY rank, row_id) AS previous_power FROM ent)")
+    f"SELECT row_id, {_SANE} AS decision FROM (SELECT *, quantile_cont(power, 0.5) OVER (PARTITION BY snapshot_id, source_file) AS median_power, lag(power) OVER (PARTITION BY snapshot_id, source_file ORDER BY rank, row_id) AS previous_power FROM ent)")
 for _n, _t in (("thp_explosion_set", "total_hero_power"), ("alliance_shape_set", "alliance_power")):
     add(_n, lambda f, t=_t: gd.explosion_set(f.entries.where(F.col("ranking_type") == t)),
         f"SELECT row_id, power, most_before FROM (SELECT row_id, power, max(power) OVER (PARTITION BY snapshot_id, source_file ORDER BY rank, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most_before FROM ent WHERE ranking_type = '{_t}' AND power > 0) WHERE power > 2.5 * most_before")
-add("power_candidates", lambda f: f.entries.where("lane like '%quarantine' and power > 0 and power < 100000000000").select("row_id", F.explode(gd.power_candidates(F.col("power"))).alias("candidate")),
-    """SELECT DISTINCT row_id, candidate FROM (SELECT row_id, power, CAST(power AS VARCHAR) AS s FROM ent WHERE lane LIKE '%quarantine' AND power > 0 AND power < 100000000000),
-    LATERAL (SELECT unnest(list_concat([power * 10, power * 100], list_concat(list_transform(range(1, length(s) + 1), lambda i: CAST(s[1:i] || '0' || s[i + 1:] AS BIGINT)), list_transform(['1', '2', '3', '4'], lambda d: CAST(d || s AS BIGINT))))) AS candidate)""")
-add("candidate_scoring", lambda f: gd.power_sanity(f.entries).where("decision like 'quarantine%' and power > 0 and power < 100000000000 and median_power > 0").select("row_id", "power", "median_power", F.explode(gd.power_candidates(F.col("power"))).alias("candidate"))
+add("power_candidates", lambda f: f.entries.where("lane like '%quarantine' and power > 0").select("row_id", F.explode(gd.power_candidates(F.col("power"))).alias("candidate")),
+    """SELECT DISTINCT row_id, candidate FROM (SELECT row_id, power, CAST(power AS VARCHAR) AS s FROM ent WHERE lane LIKE '%quarantine' AND power > 0),
+    LATERAL (SELECT unnest(list_concat(list_transform(['0', '00'], lambda d: TRY_CAST(s || d AS BIGINT)), list_concat(list_transform(range(1, length(s) + 1), lambda i: TRY_CAST(s[1:i] || '0' || s[i + 1:] AS BIGINT)), list_transform(['1', '2', '3', '4'], lambda d: TRY_CAST(d || s AS BIGINT))))) AS candidate) WHERE candidate IS NOT NULL""")
+add("candidate_scoring", lambda f: gd.power_sanity(f.entries).where("decision like 'quarantine%' and power > 0 and median_power > 0").select("row_id", "power", "median_power", F.explode(gd.power_candidates(F.col("power"))).alias("candidate"))
     .withColumn("kept", tx.digit_preservation(F.col("power").cast("string"), F.col("candidate").cast("string"))).withColumn("near", F.round(F.least(F.col("candidate") / F.col("median_power"), F.col("median_power") / F.col("candidate")), 6)).withColumn("score", F.round(0.55 * F.col("near") + 0.45 * F.col("kept"), 6)))
 add("candidate_decision", lambda f: _decide(f))
 add("content_reconcile", lambda f: gd.content_blocks(f.entries))
-add("identity_fidelity", lambda f: f.entries.select("row_id", F.expr(gd.FIDELITY).alias("risk")), f"SELECT row_id, {gd.FIDELITY} AS risk FROM ent")
-add("visible_rank_resolve", lambda f: f.entries.select("row_id", F.expr(gd.VISIBLE).alias("source")), f"SELECT row_id, {gd.VISIBLE} AS source FROM ent")
+add("identity_fidelity", lambda f: f.entries.select("row_id", F.expr(gd.FIDELITY).alias("risk")), f"SELECT row_id, {_RISKY} AS risk FROM ent")
+add("visible_rank_resolve", lambda f: f.entries.select("row_id", F.expr(gd.VISIBLE).alias("source")), f"SELECT row_id, {_SHOWS} AS source FROM ent")
 add("power_guard_apply", lambda f: gd.power_sanity(f.entries).groupBy("server", "ranking_type", "decision").agg(F.count("*").alias("rows")),
-    f"SELECT server, ranking_type, {gd.SANITY} AS decision, count(*) AS rows FROM (SELECT *, quantile_cont(power, 0.5) OVER (PARTITION BY snapshot_id, source_file) AS median_power, lag(power) OVER (PARTITION BY snapshot_id, source_file ORDER BY rank, row_id) AS previous_power FROM ent) GROUP BY ALL")
+    f"SELECT server, ranking_type, {_SANE} AS decision, count(*) AS rows FROM (SELECT *, quantile_cont(power, 0.5) OVER (PARTITION BY snapshot_id, source_file) AS median_power, lag(power) OVER (PARTITION BY snapshot_id, source_file ORDER BY rank, row_id) AS previous_power FROM ent) GROUP BY ALL")
 
 
 def _decide(f: Frames):
@@ -97,12 +104,12 @@ def _decide(f: Frames):
 # --- validation --------------------------------------------------------------
 def truth(f: Frames):
     t = f.t("sheet_players").select(F.col("sheet_row_id").alias("truth_id"), "server", F.col("player").alias("name"), F.col("alliance").alias("tag"), F.col("thp").alias("power"))
-    return t.withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc_nulls_last("power"), "truth_id")))
+    return place_within(t, "server", [F.desc_nulls_last("power"), F.col("truth_id")])
 
 
 def seen(f: Frames):
     s = f.t("player_rankings").select(F.col("entry_id").alias("seen_id"), "server", F.col("player_name").alias("name"), F.col("alliance_tag").alias("tag"), "power")
-    return s.withColumn("place", F.row_number().over(W.partitionBy("server").orderBy(F.desc_nulls_last("power"), "seen_id")))
+    return place_within(s, "server", [F.desc_nulls_last("power"), F.col("seen_id")])
 
 
 _TS = """, t AS (SELECT sheet_row_id AS truth_id, server, player AS name, alliance AS tag, thp AS power, row_number() OVER (PARTITION BY server ORDER BY thp DESC NULLS LAST, sheet_row_id) AS place FROM sheet_players),
@@ -115,7 +122,8 @@ _CP = """CASE WHEN t.power IS NULL OR s.power IS NULL THEN 'missing' WHEN t.powe
  WHEN length(s.power::VARCHAR) BETWEEN 7 AND 8 AND list_contains(list_transform(range(1, length(s.power::VARCHAR) + 1), lambda i: (s.power::VARCHAR)[1:i] || '0' || (s.power::VARCHAR)[i + 1:]), t.power::VARCHAR) THEN 'insert_zero'
  WHEN abs(t.power - s.power * 10)::DOUBLE / nullif(abs(t.power), 0) <= 0.005 THEN 'scale_x10_truncated_digit' ELSE 'mismatch' END"""
 _DET = _TS + f""", q0 AS (SELECT m.*, t.server, {_CP} AS power_match, coalesce(lower(t.tag) = lower(s.tag), t.tag IS NULL AND s.tag IS NULL) AS tag_ok, coalesce(t.name = s.name, false) AS name_ok, coalesce(t.place = s.place, false) AS rank_ok FROM m JOIN t USING (truth_id) LEFT JOIN s ON s.seen_id = m.seen_id),
-q1 AS (SELECT *, power_match IN ('exact', 'near', 'insert_zero', 'scale_x10_truncated_digit') AS power_ok FROM q0), q2 AS (SELECT *, {va.TRIAGE} AS triage FROM q1), q AS (SELECT *, {va.PLAN} AS plan FROM q2)
+q1 AS (SELECT *, power_match IN ('exact', 'near', 'insert_zero', 'scale_x10_truncated_digit') AS power_ok FROM q0), q2 AS (SELECT *, CASE WHEN tier = 0 THEN 'missing' WHEN power_ok AND tag_ok AND name_ok THEN 'clean' WHEN power_ok AND tag_ok THEN 'name' WHEN power_ok THEN 'alliance' ELSE 'power' END AS triage FROM q1),
+q AS (SELECT *, CASE triage WHEN 'clean' THEN 'none' WHEN 'name' THEN 'reread_name' WHEN 'alliance' THEN 'check_vocabulary' WHEN 'power' THEN 'reread_power' ELSE 'recapture' END AS plan FROM q2)
 """
 add("truth_match_cascade", lambda f: va.match_cascade(truth(f), seen(f)), _TS + "SELECT * FROM m")
 add("compare_power", lambda f: va.detail(truth(f), seen(f)).groupBy("power_match").agg(F.count("*").alias("n")), _DET + "SELECT power_match, count(*) AS n FROM q GROUP BY 1")

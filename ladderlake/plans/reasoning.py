@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderlake.operators import reasoning as rs
-from ladderlake.operators.snapshot_delta import diff_series
+from ladderlake.operators.snapshot_delta import differences_at_once
 from ladderlake.plans import dq
 from ladderlake.plans.base import Book, Frames
 
@@ -30,7 +30,7 @@ def add(name, build, sql):
 
 
 def flat(f: Frames):
-    return rs.flat_differences(diff_series(f.t("candidate_snapshots")))
+    return rs.flat_differences(differences_at_once(f.t("candidate_snapshots")))
 
 
 def judged(f: Frames):
@@ -87,7 +87,7 @@ add("structural_health", lambda f: flat(f).groupBy("board", F.expr(_AL).alias("a
 
 def talent(f: Frames):
     """Talent of each alliance tag of a server by its strongest players."""
-    h = f.hero.where("rank <= 50").join(f.hero.groupBy("server").agg(F.max("ord").alias("ord")), ["server", "ord"])
+    h = f.hero.join(f.hero.groupBy("server").agg(F.max("ord").alias("ord")), ["server", "ord"])
     w = W.partitionBy("server").orderBy(F.desc("value"), "entity")
     p = h.withColumn("i", F.row_number().over(w))
     g = p.groupBy("server").agg(
@@ -99,7 +99,7 @@ def talent(f: Frames):
 
 from ladderlake.plans.base import with_base  # noqa: E402
 
-add("talent_metrics", talent, with_base(""", n AS (SELECT server, max(ord) AS ord FROM hero GROUP BY 1), p AS (SELECT hero.*, row_number() OVER (PARTITION BY hero.server ORDER BY value DESC, entity) AS i FROM hero JOIN n USING (server, ord) WHERE rank <= 50)
+add("talent_metrics", talent, with_base(""", n AS (SELECT server, max(ord) AS ord FROM hero GROUP BY 1), p AS (SELECT hero.*, row_number() OVER (PARTITION BY hero.server ORDER BY value DESC, entity) AS i FROM hero JOIN n USING (server, ord))
 SELECT server, count(*) AS players, count(*) FILTER (WHERE value >= 180000000) AS n180, count(*) FILTER (WHERE value >= 200000000) AS n200, count(*) FILTER (WHERE value >= 250000000) AS n250, count(*) FILTER (WHERE value >= 300000000) AS n300, median(value) AS median_value,
 round(sum(value) FILTER (WHERE i <= 5) * 100.0::DOUBLE / sum(value), 4) AS top5_share, least(n180 + 2 * n200 + 4 * n250 + 8 * n300, 100) AS talent_score FROM p GROUP BY 1"""))
 

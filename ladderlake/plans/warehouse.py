@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderlake.operators import warehouse as wh
+from ladderlake.operators.ranks import place_within
 from ladderlake.plans.base import Book
 
 B = Book()
@@ -56,9 +57,12 @@ add("frame_left_merge", lambda f: f.entries.select("row_id", "snapshot_id", "all
     "SELECT row_id, coalesce(nullif(source_file, ''), city_source) AS source, city_source FROM ent LEFT JOIN (SELECT snapshot_id, min(source_file) AS city_source FROM city_stats GROUP BY 1) c USING (snapshot_id)")
 add("expected_feed_anti", lambda f: f.star.select("server", "ord").distinct().withColumn("ranking_type", F.explode(F.array(F.lit("alliance_power"), F.lit("total_hero_power")))).join(f.star.select("server", "ord", "ranking_type"), ["server", "ord", "ranking_type"], "left_anti"),
     "SELECT s.server, s.ord, t.ranking_type FROM (SELECT DISTINCT server, ord FROM star) s, (VALUES ('alliance_power'), ('total_hero_power')) t(ranking_type) WHERE NOT EXISTS (SELECT 1 FROM star x WHERE x.server = s.server AND x.ord = s.ord AND x.ranking_type = t.ranking_type)")
+#: Width of a logarithmic bucket of powers: powers within one percent of each other lie in one or in two neighbouring ones.
+_BUCKET = "case when {x} > 0 then floor(ln({x}) / 0.0102) else {x} end"
 add("trace_join", lambda f: wh.latest_per(
-        f.t("player_rankings").where("parse_status = 'REVIEW'").select("entry_id", "server", F.col("rank").alias("r"), F.col("power").alias("p"), F.col("source_file").alias("sf"))
-        .join(f.t("sheet_players").select("sheet_row_id", "server", "thp"), "server").withColumn("tier", F.expr("case when thp = p then 1 when abs(thp - p) <= 0.01 * p then 2 end")).where("tier is not null"),
+        f.t("player_rankings").where("parse_status = 'REVIEW'").select("entry_id", "server", F.col("power").alias("p")).withColumn("bucket", F.expr(_BUCKET.format(x="p")).cast("bigint"))
+        .join(f.t("sheet_players").select("sheet_row_id", "server", "thp").withColumn("bucket", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> cast({_BUCKET.format(x='thp')} as bigint) + d)"))), ["server", "bucket"])
+        .withColumn("tier", F.expr("case when thp = p then 1 when abs(thp - p) <= 0.01 * p then 2 end")).where("tier is not null"),
         ["entry_id"], [F.col("tier"), F.expr("abs(thp - p)"), F.col("sheet_row_id")]).select("entry_id", "sheet_row_id", "tier"),
     "SELECT entry_id, sheet_row_id, CASE WHEN thp = power THEN 1 ELSE 2 END AS tier FROM player_rankings p JOIN sheet_players s USING (server) WHERE parse_status = 'REVIEW' AND (thp = power OR abs(thp - power) <= 0.01 * power) QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY tier, abs(thp - power), sheet_row_id) = 1")
 add("source_evidence_join", lambda f: wh.latest_per(
@@ -75,7 +79,7 @@ add("alliance_power_timeline", lambda f: f.ally.where("rank <= 10").groupBy("ser
     "SELECT server, ord, collection, CAST(sum(value) AS BIGINT) AS total_power FROM ally WHERE rank <= 10 GROUP BY ALL")
 add("top10_power_sum", lambda f: f.ally.where("rank <= 10").groupBy("server", "ord").agg(F.sum("value").alias("p")).groupBy("server").agg(F.max_by("p", "ord").alias("latest_power")),
     "SELECT server, CAST(arg_max(p, ord) AS BIGINT) AS latest_power FROM (SELECT server, ord, sum(value) AS p FROM ally WHERE rank <= 10 GROUP BY ALL) GROUP BY 1")
-add("historical_coverage", lambda f: f.star.groupBy("server", "ranking_type").agg(F.count(one).alias("rows")).where("rows > 100"), "SELECT server, ranking_type, count(*) AS rows FROM star GROUP BY ALL HAVING rows > 100")
+add("historical_coverage", lambda f: f.star.groupBy("server", "ranking_type").agg(F.count(one).alias("rows")), "SELECT server, ranking_type, count(*) AS rows FROM star GROUP BY ALL HAVING count(*) > 0")
 add("source_coverage", lambda f: f.star.groupBy("ord").agg(F.min("source_file").alias("first_source"), F.countDistinct("server").alias("servers"), F.count(one).alias("rows"), F.concat_ws(",", F.sort_array(F.collect_set("ranking_type"))).alias("types")),
     "SELECT ord, min(source_file) AS first_source, count(DISTINCT server) AS servers, count(*) AS rows, string_agg(DISTINCT ranking_type, ',' ORDER BY ranking_type) AS types FROM star GROUP BY 1")
 add("import_run_rollup", lambda f: f.entries.groupBy("snapshot_id").agg(
@@ -104,7 +108,7 @@ add("validation_category_rollup", lambda f: f.t("player_rankings").withColumn("c
     "SELECT CASE WHEN regexp_matches(player_name, '[가-힣]') THEN 'hangul' WHEN regexp_matches(player_name, '[぀-ヿ]') THEN 'kana' WHEN regexp_matches(player_name, '[Ѐ-ӿ]') THEN 'cyrillic' WHEN regexp_matches(player_name, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS category, count(*) AS rows, count(*) FILTER (WHERE parse_status = 'VALID') AS valid, count(*) FILTER (WHERE alliance_tag IS NULL) AS no_tag, CAST(sum(power) AS BIGINT) AS power FROM player_rankings GROUP BY 1")
 
 # --- windows -----------------------------------------------------------------
-add("computed_rank", lambda f: f.t("sheet_players").where("thp is not null").withColumn("computed", F.row_number().over(W.partitionBy("server").orderBy(F.desc("thp"), "sheet_row_id"))).select("sheet_row_id", "server", "computed"),
+add("computed_rank", lambda f: place_within(f.t("sheet_players").where("thp is not null").select("sheet_row_id", "server", "thp"), "server", [F.desc("thp"), F.col("sheet_row_id")], "computed").select("sheet_row_id", "server", "computed"),
     "SELECT sheet_row_id, server, row_number() OVER (PARTITION BY server ORDER BY thp DESC, sheet_row_id) AS computed FROM sheet_players WHERE thp IS NOT NULL")
 add("limit_per_collection", lambda f: wh.top_n(f.hero, ["ord"], [F.desc("value"), F.col("server"), F.col("entity")], 20).select("ord", "place", "server", "entity", "value"),
     "SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY value DESC, server, entity) AS place, server, entity, value FROM hero QUALIFY place <= 20")
@@ -137,12 +141,12 @@ add("source_median", lambda f: f.entries.where("power < 1000000000000000").group
 add("source_index", lambda f: f.entries.select("snapshot_id", "ranking_type", "source_file").distinct().withColumn("source_index", F.dense_rank().over(W.partitionBy("snapshot_id", "ranking_type").orderBy("source_file"))),
     "SELECT DISTINCT snapshot_id, ranking_type, source_file, dense_rank() OVER (PARTITION BY snapshot_id, ranking_type ORDER BY source_file) AS source_index FROM ent")
 _ANCHOR = "0.30 + 0.16 * (CASE WHEN gap_rows = 1 THEN 1.0 ELSE 0.5 END) + 0.30 * (CASE WHEN bounded THEN 1.0 ELSE 0.0 END) + 0.14 * (CASE WHEN gap_rows <= 3 THEN 1.0 ELSE 0.0 END) + 0.10"
-add("context_inference", lambda f: wh.gap_islands(f.entries.where("lane = 'operational' and ranking_type = 'total_hero_power'").select("snapshot_id", "ranking_type", "rank"), 60)
-    .withColumn("confidence", F.round(F.expr(_ANCHOR), 4)).where("confidence >= 0.88").select("snapshot_id", "gap_start", "gap_end", "confidence"),
-    f""", f AS (SELECT DISTINCT snapshot_id, rank FROM ent WHERE lane = 'operational' AND ranking_type = 'total_hero_power' AND rank BETWEEN 1 AND 60),
-    g AS (SELECT *, lag(rank) OVER (PARTITION BY snapshot_id ORDER BY rank) AS p FROM f),
-    i AS (SELECT snapshot_id, coalesce(p, 0) + 1 AS gap_start, rank - 1 AS gap_end, p IS NOT NULL AS bounded, rank - 1 - coalesce(p, 0) AS gap_rows FROM g WHERE rank - coalesce(p, 0) > 1)
-    SELECT snapshot_id, gap_start, gap_end, round(({_ANCHOR})::DOUBLE, 4) AS confidence FROM i WHERE round(({_ANCHOR})::DOUBLE, 4) >= 0.88""")
+add("context_inference", lambda f: wh.gap_islands(f.entries.where("lane = 'operational'").select("snapshot_id", "ranking_type", "rank"))
+    .withColumn("confidence", F.round(F.expr(_ANCHOR), 4)).where("confidence >= 0.88").select("snapshot_id", "ranking_type", "gap_start", "gap_end", "confidence"),
+    f""", f AS (SELECT DISTINCT snapshot_id, ranking_type, rank FROM ent WHERE lane = 'operational' AND rank >= 1),
+    g AS (SELECT *, lag(rank) OVER (PARTITION BY snapshot_id, ranking_type ORDER BY rank) AS p FROM f),
+    i AS (SELECT snapshot_id, ranking_type, coalesce(p, 0) + 1 AS gap_start, rank - 1 AS gap_end, p IS NOT NULL AS bounded, rank - 1 - coalesce(p, 0) AS gap_rows FROM g WHERE rank - coalesce(p, 0) > 1)
+    SELECT snapshot_id, ranking_type, gap_start, gap_end, round(({_ANCHOR})::DOUBLE, 4) AS confidence FROM i WHERE round(({_ANCHOR})::DOUBLE, 4) >= 0.88""")
 
 # --- set operations ----------------------------------------------------------
 _READY = "CASE WHEN failed THEN 'failed' WHEN pending THEN 'pending' WHEN NOT (ally AND hero) THEN 'missing' ELSE 'operational' END"

@@ -11,7 +11,7 @@ from ladderlake.functions.medians import grouped_median
 from ladderlake.operators.control_chart import ChartSettings, flag_readings
 from ladderlake.operators.history import attribute_history
 from ladderlake.operators.orphans import orphan_references, orphan_report
-from ladderlake.operators.snapshot_delta import SnapshotIndex, diff_series
+from ladderlake.operators.snapshot_delta import SnapshotIndex, diff_series, differences_at_once
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -236,4 +236,5 @@ def test_series_against_a_plain_comparison(spark):
                     if kind:
                         want.add((b, str(last[b]), str(day(7 * n)), i, kind))
             state[b], last[b] = new, day(7 * n)
-    assert changed(diff_series(spark.createDataFrame(rows, SNAP))) == want
+    df = spark.createDataFrame(rows, SNAP)
+    assert changed(diff_series(df)) == want and changed(differences_at_once(df)) == want
