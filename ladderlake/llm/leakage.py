@@ -7,7 +7,7 @@ passages have the same one.  Items are partitioned by size.  Of an item of
 ``n`` words with ``k`` changed, one of ``k + 1`` pieces stays whole; items of
 up to ``SURE_WORDS`` words have passages no longer than that piece, so that no
 leak of theirs is missed, and longer ones, which have many passages, longer
-passages.  Only sketches that a filter over all items' sketches lets pass leave
+passages.  Every run of ``RUN`` words is a sketch by itself.  Only sketches that a filter over all items' sketches lets pass leave
 the scan of the documents; what shares enough of them with an item is verified
 on the words themselves: either ``RUN`` successive words are equal, or the
 item's shingles are contained as far as the changed words leave them and all
@@ -38,6 +38,8 @@ SIZES = ((96, 5, 8), (SURE_WORDS + 1, 4, 4))
 FILTER_BITS, FILTER_MOST = 24, 1 << 28
 #: Items verified against a document at a time, and characters of text that are sketched at a time.
 ITEM_CHUNK, BATCH_CHARS = 256, 8_000_000
+#: Numbers of documents with a candidate that are sent to every task at most, to read the documents again without moving them.
+BROADCAST_DOCS = 1_000_000
 PROBES = 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,19 +123,21 @@ def _sketches(ids: np.ndarray, length: int, width: int) -> np.ndarray:
 
 
 def least_shared(ids: np.ndarray) -> int:
-    """Distinct sketches that a document with this item shares at least."""
-    n = len(ids)
-    length, width = size_class(n)
+    """Distinct passage sketches that a document with the whole item shares.
+
+    With passages of one shingle this is exact, as a change takes away a
+    shingle's length of them at most.  Of the longer passages of longer items,
+    two or three are asked for: of the 15 to 30 that these have, six in eight
+    changed words leave far more.
+    """
+    length, width = size_class(len(ids))
     if width > 1:
-        return 1
-    h = shingle_hashes(ids, length)[: n - length + 1]
-    whole = len(np.unique(h)) - length * changes(n)
-    runs = [len(np.unique(h[k : k + RUN - length + 1])) for k in range(n - RUN + 1)]
-    return max(1, min([whole, *runs]))
+        return 2 if width < 8 else 3
+    return max(1, len(np.unique(shingle_hashes(ids, length)[: len(ids) - length + 1])) - length * changes(len(ids)))
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
-    """(h, i, v, need, length, width) of items (i, v, t)."""
+    """(h, i, v, weight, need, length, width) of items (i, v, t): passage MinHashes, and every run of ``RUN`` words, which suffices by itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = _Words()
@@ -142,12 +146,13 @@ def item_sketches(items: DataFrame) -> DataFrame:
             for i, v, t in zip(pdf["i"], pdf["v"], pdf["t"], strict=True):
                 ids = np.array([numbers[w] for w in plain_words(t)], dtype=np.uint64)
                 if len(ids):
-                    length, width = size_class(len(ids))
-                    parts.append(pd.DataFrame({"h": _sketches(ids, length, width), "i": i, "v": v, "need": least_shared(ids), "length": length, "width": width}))
+                    need = least_shared(ids)
+                    for (length, width), weight in ((size_class(len(ids)), 1), ((RUN, 1), need)):
+                        parts.append(pd.DataFrame({"h": _sketches(ids, length, width), "i": i, "v": v, "weight": weight, "need": need, "length": length, "width": width}))
             if parts:
                 yield pd.concat(parts)
 
-    return items.mapInPandas(run, "h bigint, i bigint, v bigint, need int, length int, width int")
+    return items.mapInPandas(run, "h bigint, i bigint, v bigint, weight int, need int, length int, width int")
 
 
 def sketch_filter(sketches: DataFrame, count: int) -> np.ndarray:
@@ -292,9 +297,12 @@ def find_leaks(
     sizes = sketches.groupBy("length", "width").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each size partition
     filled = sketch_filter(sketches, max(1, sum(r["n"] for r in sizes)))
     hits = document_hits(docs, filled, [(r["length"], r["width"]) for r in sizes]).distinct()
-    shared = hits.join(sketches.select("h", "i", "v", "need"), "h").groupBy("d", "i", "v", "need").agg(F.count(F.lit(1)).alias("n"))
+    shared = hits.join(sketches.select("h", "i", "v", "weight", "need"), "h").groupBy("d", "i", "v", "need").agg(F.sum("weight").alias("n"))
     candidates = cut(shared.where("n >= need").select("d", "i", "v"))
+    found = candidates.select("d").distinct()
+    few = found.count() <= BROADCAST_DOCS
     many = candidates.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
     with_text = candidates.join(source, ["i", "v"]).join(many, "d").select("d", F.pmod(F.xxhash64("i", "v"), "parts").alias("part"), F.struct("i", "t").alias("item"))
     chunks = with_text.groupBy("d", "part").agg(F.collect_list("item").alias("items")).select("d", "items")
+    docs = docs.join(F.broadcast(found) if few else found, "d", "left_semi")  # beyond the bound by shuffle
     return _verified(docs.join(chunks, "d").select("d", "t", "items")).distinct().select(F.col("i").alias(item_id), F.col("d").alias(doc_id))
