@@ -2,10 +2,11 @@
 
 A text is decomposed, its ignorable characters are deleted and its blanks made
 one kind.  Every remaining character then opens the set of characters that look
-like it, one per script; these sets form a lattice.  Viterbi takes the path
-that stays in one script as far as it can and, among such paths, the one with
-the best character bigrams.  The sets are disjoint, so two texts get the same
-path exactly if they have the same lattice, that is if they read alike.
+like it, one per script, and a few open two such sets; these sets form a
+lattice.  Viterbi takes the path that stays in one script as far as it can and,
+among such paths, the one with the best character bigrams.  Where every
+character opens one set, two texts get the same path exactly if they read
+alike; which letter an ambiguous character stands for is the path's decision.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ LOOKALIKES: dict[str, tuple[str, str]] = {
     "CHEROKEE": ("RDTAJWMHGZVSLCPKBE", "ᎡᎠᎢᎪᎫᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴᎬ"),
     "COPTIC": ("pocOPCMNKHTX", "ⲣⲟⲥⲞⲢⲤⲘⲚⲔⲎⲦⲬ"),
     "IPA": ("ag", "ɑɡ"),
+    "LISU": ("BPDTGKJCZFMNLSRVHWXYAEOU", "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓳꓴ"),
 }
+# Letters of other scripts that read as either of two Latin letters; the path through the lattice decides.
+AMBIGUOUS = {"Ӏ": "Il", "ꓲ": "Il", "ⵏ": "Il", "ⵔ": "Oo", "ⲓ": "Il"}
 # Katakana and the ideographs that look like them.
 KANA_IDEOGRAPHS = ("ロカトタエニハオ", "口力卜夕工二八才")
 #: Compatibility forms that are a matter of width or typesetting; raised, circled and similar forms look different and stay.
@@ -35,7 +39,7 @@ PLAIN_FORMS = {"<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initia
 #: Characters without a visible form that are no format characters by category.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
-SWITCH, MEMO = 6.0, 200_000
+SWITCH, MIXED, MEMO = 6.0, 0.2, 200_000
 
 
 def _classes() -> tuple[dict[str, int], dict[int, dict[str, str]]]:
@@ -83,20 +87,35 @@ def compatible(text: str) -> str:
     return unicodedata.normalize("NFD", "".join(out)).strip(" ")
 
 
+def _cell(ch: str) -> list[tuple[str, str]]:
+    """(script, character) of everything that looks like ``ch``; characters that read as two letters open the classes of both."""
+    if ch in CLASS_OF:
+        return list(MEMBERS[CLASS_OF[ch]].items())
+    if ch in AMBIGUOUS:
+        return [x for latin in AMBIGUOUS[ch] for x in MEMBERS[CLASS_OF[latin]].items()]
+    return [(_script(ch), ch)]
+
+
 def best_reading(chars: str, bigrams: Mapping[str, float]) -> str:
-    """The Viterbi path through the lattice of ``chars`` (decomposed text)."""
-    lattice = [MEMBERS[CLASS_OF[c]] if c in CLASS_OF else {_script(c): c} for c in chars]
-    if all("LATIN" in cell or "" in cell for cell in lattice):
-        return "".join(cell.get("LATIN", cell.get("")) for cell in lattice)
-    # state: script of the last letter; neutral characters hand it on
-    best: dict[str, tuple[float, str]] = {"": (0.0, "")}
+    """The Viterbi path through the lattice of ``chars`` (decomposed text).
+
+    A path pays for every change of script and gains by the frequency of its
+    character pairs; pairs of a small and a capital letter inside a word cost.
+    """
+    lattice = [_cell(c) for c in chars]
+    simple = [[c for s, c in cell if s in ("LATIN", "")] for cell in lattice]
+    if all(len(x) == 1 for x in simple):
+        return "".join(x[0] for x in simple)
+    # state: script of the last letter and the letter itself; neutral characters hand the script on
+    best: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
     for cell in lattice:
-        step: dict[str, tuple[float, str]] = {}
-        for script, ch in cell.items():
-            for last, (score, path) in best.items():
-                now = script or last
+        step: dict[tuple[str, str], tuple[float, str]] = {}
+        for script, ch in cell:
+            for (last, before), (score, path) in best.items():
+                now = (script or last, ch)
                 value = score - (SWITCH if script and last and script != last else 0.0)
-                value += bigrams.get(path[-1:] + ch, 0.0) / 16 - (0.01 if script not in ("", "LATIN") else 0.0)
+                value += bigrams.get(before + ch, 0.0) / 16 - (0.01 if script not in ("", "LATIN") else 0.0)
+                value -= MIXED if before.isalpha() and before.islower() and ch.isupper() or before.isupper() and len(path) == 1 and ch.isupper() else 0.0
                 kept = step.get(now)
                 if kept is None or (value, path + ch) > kept:
                     step[now] = (value, path + ch)
@@ -160,17 +179,18 @@ def lookalike_pairs(entities: DataFrame, rows: DataFrame, bigrams: Mapping[str,
     without any visible character, match nothing; rows that repeat an id count
     once; further columns are ignored; empty inputs give no rows.
 
-    Every row is read and brought to its form once; the join is salted by row,
-    as one name may hold a third of all rows.
+    Names are brought to their form once each, whatever the number of rows that
+    have them, and meet the entities as names; only rows whose name has such a
+    partner are attached to the pairs.  That join is salted by row, as one name
+    may hold a third of all rows.
     """
     e = entities.select(F.col("id").alias("low_id"), "kind", F.col("name").alias("raw")).distinct()
     e = e.withColumn("form", canonical_column(F.col("raw"), bigrams)).where("form <> ''")
     r = rows.select(F.col("row_id").alias("high_id"), "kind", F.col("name").alias("raw2")).where("kind is not null and raw2 is not null")
-    r = r.withColumn("form", canonical_column(F.col("raw2"), bigrams)).where("form <> ''")
-    r = r.withColumn("salt", F.pmod(F.xxhash64("high_id"), F.lit(salts)).cast("int"))
-    se = e.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = ["kind", "form", "salt"]
-    with_rows = r.join(se, on).where("raw <> raw2").select("low_id", "high_id")
+    names = r.select("kind", "raw2").distinct().withColumn("form", canonical_column(F.col("raw2"), bigrams)).where("form <> ''")
+    hits = names.join(e, ["kind", "form"]).where("raw <> raw2").select("kind", "raw2", "low_id")
+    spread = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    with_rows = r.withColumn("salt", F.pmod(F.xxhash64("high_id"), F.lit(salts)).cast("int")).join(spread, ["kind", "raw2", "salt"]).select("low_id", "high_id")
     other = e.select("kind", "form", F.col("low_id").alias("high_id"), F.col("raw").alias("raw2"))
     odd = e.where("raw <> form")
     pairs = odd.join(other, ["kind", "form"]).where("raw <> raw2 and low_id <> high_id")

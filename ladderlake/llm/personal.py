@@ -28,6 +28,23 @@ FAMILY_NAMES = (
     "Ostrovane Oyelaran Perrinot Pfefferling Quenthart Quillinan Rosmarek Sotomarez Strandhove Tarrowby Tolvanek "
     "Uxbrigg Vantongeren Villamontes Wexcombe Wintersole Yarborne Zielbrand Zupanovek"
 ).split()
+# Common given and family names of the five languages' countries.
+COMMON_GIVEN = (
+    "Adam Adrian Alejandro Alexander Alice Amanda Amelie Ana Andrea Andrew Angela Anna Anne Antoine Antonio Barbara Benjamin Carlos Carmen Caroline Catherine Charles Charlotte Chloé Christian "
+    "Christine Christopher Clara Claire Daniel David Diego Edward Elena Elizabeth Emily Emma Eva Fernando Florian Francisco Frank Franziska Frédéric Gabriel George Georg Hannah Hans Harry Helen Henry "
+    "Isabel Isabelle Jack Jacob Jakob James Jan Jane Javier Jean Jennifer Jessica Johannes John Jonas Jorge José Joseph Juan Julia Julien Jürgen Karen Karl Katharina Kevin Klaus Laura Lena Leon Linda "
+    "Lisa Louis Luca Lucas Lucía Luis Lukas Manuel Marc Margaret María Maria Marie Marta Martin Mary Matthew Max Maximilian Michael Miguel Mohammed Monika Nathalie Nicholas Nicolas Nina Olivia Pablo "
+    "Patricia Patrick Paul Pedro Peter Philipp Philippe Pierre Rachel Rafael Raúl Richard Robert Roberto Samuel Sandra Sarah Sebastian Sergio Simon Sofia Sophie Stefan Stephen Susan Susanne Theresa "
+    "Thomas Tim Ursula Valentina Victoria William Wolfgang"
+).split()
+COMMON_FAMILY = (
+    "Adams Allen Álvarez Anderson Bailey Baker Bauer Becker Bell Bennett Bernard Bertrand Braun Brown Campbell Carter Castro Clark Collins Cook Cooper Cox Davies Davis Delgado Díaz Dubois Dupont "
+    "Durand Edwards Evans Fernández Fischer Flores Fournier Garcia García Gómez González Gonzalez Gray Green Gutiérrez Hall Harris Hartmann Hernández Hernandez Herrera Hill Hoffmann Howard Hughes "
+    "Jackson Jenkins Jiménez Johnson Jones Kelly Klein Koch Krüger Lambert Lange Laurent Lefebvre Leroy Lewis Lopez López Martin Martín Martínez Martinez Meyer Michel Miller Mitchell Moore Morales "
+    "Moreau Moreno Morgan Morris Müller Muñoz Murphy Navarro Nelson Neumann Ortiz Parker Peterson Petit Phillips Perez Pérez Ramírez Ramos Reed Richter Rivera Roberts Robinson Rodríguez Rodriguez Rogers "
+    "Romero Rousseau Roux Ruiz Sánchez Sanchez Sanders Schäfer Schmidt Schmitt Schneider Schröder Schulz Schwarz Scott Simmons Smith Stewart Taylor Thomas Thompson Torres Turner Vargas Vázquez "
+    "Vincent Wagner Walker Ward Watson Weber Werner White Williams Wilson Wright Wolf Zimmermann"
+).split()
 # Words that announce a telephone number.
 PHONE_CUES = (
     "phone", "Phone", "number", "Call", "call", "Ring me on", "WhatsApp", "Tel", "tel", "Tél", "Erreichbar unter", "Appelez le",
@@ -37,10 +54,10 @@ PHONE_CUES = (
 ID_CUES = (
     "ID card", "identity number", "identity card", "tax number", "tax ID", "passport no.", "passport number", "Ausweisnummer", "Ausweis",
     "Personalnr.", "Steuernummer", "Steuer-ID", "DNI", "NIF", "pasaporte", "Pièce d'identité", "pièce d'identité", "numéro fiscal",
-    "passeport", "신분증 번호", "여권 번호", "주민등록번호", "SSN", "social security number", "social number", "national insurance number",
+    "passeport", "Passport", "passport", "Passport number", "Passport no.", "Reisepass", "Reisepassnummer", "Personalausweis", "NIE", "tax id", "Tax ID", "Tax number", "Social security number", "Social Security Number", "신분증 번호", "여권 번호", "주민등록번호", "SSN", "social security number", "social number", "national insurance number",
 )
 # Words for streets, by the side of the name on which they stand.
-STREET_AFTER = ("Road", "Street", "Lane", "Avenue", "Close", "Rd", "St.", "Ave", "Drive", "Court", "Square", "Terrace")
+STREET_AFTER = ("Road", "Street", "Lane", "Avenue", "Close", "Rd", "St.", "Ave", "Drive", "Court", "Square", "Terrace", "Blvd", "Boulevard", "Crescent", "Parkway")
 STREET_INSIDE = ("straße", "strasse", "weg ", "gasse ", "platz ", "stieg ", "Allee ", "Straße", "allee ", "damm ", "ring ")
 STREET_BEFORE = ("rue ", "avenue ", "chemin ", "boulevard ", "place ", "allée ", "quai ", "C/ ", "Calle ", "Avda. ", "Plaza ")
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "xlsx", "json", "csv", "txt", "pdf"}
@@ -56,17 +73,19 @@ DIGITS_BY_COUNTRY = {"1": 11, "44": 12, "49": 12, "33": 11, "34": 11}
 #: Fewest and most digits, country code and all, where a country's numbers differ in length.
 DIGITS_RANGE = {"44": (9, 12), "49": (8, 13)}
 
-_LOCAL = re.compile(r"[A-Za-z0-9](?:[\w.+%\-]*[\w])?\Z", re.A)
-_DOMAIN = re.compile(r" ?([A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+)", re.A)
+#: Latin letters with or without accents, and digits: letters of other scripts stand next to an address without a blank.
+_L = "A-Za-z0-9À-ÖØ-öø-ž"
+_LOCAL = re.compile(rf"[{_L}](?:[{_L}_.+%\-]*[{_L}_])?\Z")
+_DOMAIN = re.compile(rf" ?([{_L}-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[{_L}-]+)+)")
 _NATIONAL = re.compile(
     r"\(\d{3}\) ?\d{3}[ -]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|00\d{2}(?:[  ]?\d{2,5}){2,4}|0\d{4}[  ]\d{6}|0\d{2}[  ]\d{4}[  ]\d{4}"
     r"|0\d{1,4}/\d{3,8}(?:-\d{1,5})?|0\d(?:[.  ]\d{2}){4}|0\d{9,10}"
 )
 _BRACKET = re.compile(r"\(\d{2,5}\)[ \xa0]?\d{2,8}(?:[ \xa0-]\d{2,6}){0,3}(?![\w/:]|[.,-]\d)", re.A)
-_NUMBER_START = re.compile(r"[\s:.# ]{0,3}(?=[+(\d])")
+_NUMBER_START = re.compile(r"[\s:.# ]{0,3}(?:(?:is|ist|es|est) )?(?=[+(\d])")
 _ID = re.compile(
     r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{8}-\d{4}|\d{8}[A-Z]"
-    r"|[A-Z]{2}\d{2}[A-Z]\d{5}|[A-Z]{1,2}\d{6,9}|\d{9,12}"
+    r"|[A-Z]{2}\d{2}[A-Z]\d{5}|[XYZ]\d{7}[A-Z]|[A-Z]{1,2}\d{6,9}|\d{9,12}|[CFGHJK][CFGHJKLMNPRTVWXYZ0-9]{7}\d"
 )
 _ID_START = re.compile(r"[\s:.(# ]{0,3}")
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
@@ -85,14 +104,16 @@ def _names(words: list[str]) -> str:
     return "|".join(sorted({v for w in words for v in (w, w.upper())}, key=len, reverse=True))
 
 
-_F = rf"(?:{_names(FAMILY_NAMES)})"
-_G = rf"(?:{_names(GIVEN_NAMES)})"
+_WORD = r"(?:(?:O['’]|D['’]|Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]{2,})"
+_F = rf"(?:{_names([*FAMILY_NAMES, *COMMON_FAMILY])})"
+#: A family name of the first list with another one behind a hyphen, or a common one with any word there.
+_FAMILY = rf"(?:(?:{_names(FAMILY_NAMES)})(?:-{_F})?|(?:{_names(list(COMMON_FAMILY))})(?:-{_WORD})?)"
+_G = rf"(?:{_names([*GIVEN_NAMES, *COMMON_GIVEN])})"
 _INITIALS = r"(?:[A-ZÀ-Þ]\. ?){1,2}"
-_FAMILY_FIRST = re.compile(rf"{_F}(?:-{_F})?, {_G}(?: [A-Z]\.)?(?![\w@])")
-_GIVEN_FIRST = re.compile(rf"{_G}(?: [A-ZÀ-Þ]\.){{0,2}} {_F}(?:-{_F})?(?![\w@])")
-_INITIAL_FIRST = re.compile(rf"{_INITIALS}{_F}(?:-{_F})?(?![\w@])")
+_FAMILY_FIRST = re.compile(rf"{_FAMILY}, {_G}(?: [A-Z]\.)?(?![\w@])")
+_GIVEN_FIRST = re.compile(rf"{_G}(?: [A-ZÀ-Þ]\.){{0,2}} {_FAMILY}(?![\w@])")
+_INITIAL_FIRST = re.compile(rf"{_INITIALS}{_FAMILY}(?![\w@])")
 # names outside the gazetteer: capitalised words, a third one only before a mark that ends it
-_WORD = r"(?:(?:O['’]|D['’]|Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]{2,})"
 _LAST = rf"(?:(?:de|del|la|du|di|da|van|von|der|den|ter) ){{0,2}}{_WORD}(?:-{_WORD})?"
 _INITIAL_LAST = rf"(?:[A-ZÀ-Þ]\. ?){{1,2}}{_LAST}"
 _FREE_NAME = re.compile(rf"(?:{_WORD}(?:-{_WORD})?(?: [A-ZÀ-Þ]\.){{0,2}} {_LAST}(?: {_WORD}(?=[.,;:!?)<\n]|\Z))?|{_INITIAL_LAST})(?![\w@])")
@@ -121,8 +142,8 @@ def _automaton() -> ahocorasick.Automaton:
     put(STREET_AFTER, "street_after")
     put(STREET_INSIDE, "street_inside")
     put(STREET_BEFORE, "street_before")
-    put([v for w in GIVEN_NAMES for v in (w, w.upper())], "given")
-    put([v for w in FAMILY_NAMES for v in (w, w.upper())], "family")
+    put([v for w in (*GIVEN_NAMES, *COMMON_GIVEN) for v in (w, w.upper())], "given")
+    put([v for w in (*FAMILY_NAMES, *COMMON_FAMILY) for v in (w, w.upper())], "family")
     for w, kinds in entries.items():
         a.add_word(w, (len(w), tuple(kinds)))
     a.make_automaton()
@@ -193,7 +214,7 @@ def _international(t: str, start: int, lead: int = 1) -> tuple[int, int] | None:
 
 def _zeros(t: str, start: int) -> tuple[int, int] | None:
     """A number that begins with a double zero, in groups unless its country is one of the known."""
-    if start and t[start - 1] in ",:/+" or t[start + 2 : start + 3] not in tuple("123456789"):
+    if start and t[start - 1] in ",:/+" or re.search(r"\d[ \xa0]\Z", t[max(0, start - 2) : start]) or t[start + 2 : start + 3] not in tuple("123456789"):
         return None
     span = _international(t, start, 2)
     if not span or not (t.startswith(tuple(DIGITS_BY_COUNTRY), start + 2) or re.search(r"[ \xa0./-]", t[start : span[1]])):

@@ -129,6 +129,13 @@ def test_canonical_form_is_stable_and_stays_in_one_script():
     assert lookalike.canonical("Pикачо") == "Рикачо" and lookalike.canonical(None) is None
 
 
+def test_the_path_decides_what_an_ambiguous_letter_is(spark):
+    names = spark.createDataFrame([("Ilana",), ("Ivo",), ("Italo",), ("Gala",), ("Pola",), ("Bella",), ("Kalle",)], "name string")
+    bigrams = lookalike.train_bigrams(names, "name")
+    assert lookalike.canonical("ꓲvo", bigrams) == "Ivo" and lookalike.canonical("GaӀa", bigrams) == "Gala" and lookalike.canonical("PoⵏӀa", bigrams) == "Polla"
+    assert lookalike.canonical("ꓖаꓡа") == lookalike.canonical("GaLa")
+
+
 def test_pairs_of_alike_names(spark):
     e = spark.createDataFrame([(1, "player", "Seta", "x"), (2, "player", "Sеta", "x"), (2, "player", "Sеta", "x"), (3, "alliance", "Sеta", "x"), (4, "player", None, "x"), (5, "player", "​", "x"), (6, "player", "seta", "x")], "id bigint, kind string, name string, form string")
     r = spark.createDataFrame([(10, "player", "Seta"), (11, "player", "Sеta "), (12, "alliance", "Seta"), (13, None, "Seta"), (14, "player", None), (10, "player", "Seta")], "row_id bigint, kind string, name string")
@@ -335,7 +342,9 @@ def test_token_counts(spark):
         ("goes to 149b Upper Marl St..", ["address:149b Upper Marl St."]), ("Address: 12 Oxbow Road, Flat 3, North Tessel ZZ9 4QK The list", ["address:12 Oxbow Road, Flat 3, North Tessel ZZ9 4QK"]),
         ("bei Lindacher Allee 94a, 05568 Bad Wellbach.", ["address:Lindacher Allee 94a, 05568 Bad Wellbach"]), ("va a C/ Vereda Honda 17, 3º C, 00635 Villaseca de Orna.", ["address:C/ Vereda Honda 17, 3º C, 00635 Villaseca de Orna"]),
         ("au 66 rue des Tilleuls-Gris, 99359 Courvieux.", ["address:66 rue des Tilleuls-Gris, 99359 Courvieux"]), ("Mr DARVO OSTROVANE signed", ["person:DARVO OSTROVANE"]), ("according to Q. Lorquin-Uxbrigg's shot", ["person:Q. Lorquin-Uxbrigg"]),
-        ("Thanks to Harkaway, Corwen for", ["person:Harkaway, Corwen"]), ("Miru Lade moved", []), ("Quenna moved", []), ("", []), (None, []),
+        ("Please ask John Smith or Maria Garcia", ["person:John Smith", "person:Maria Garcia"]), ("phone is 202.555.0124", ["phone:202.555.0124"]), ("IBAN DE89 3704 0044 0532 0130 00", []),
+        ("mail jörg.müller@exämple.de or 메일a1@example.org", ["email:jörg.müller@exämple.de", "email:a1@example.org"]), ("Passport: X1234567, NIE X1234567L", ["id_number:X1234567", "id_number:X1234567L"]),
+        ("lives at 123 Main Blvd, Springfield", ["address:123 Main Blvd, Springfield"]), ("Thanks to Harkaway, Corwen for", ["person:Harkaway, Corwen"]), ("Miru Lade moved", []), ("Quenna moved", []), ("", []), (None, []),
     ],
 )
 def test_places(text, found):
