@@ -21,6 +21,7 @@ def falling(x: str, high: float) -> str:
     return f"CASE WHEN {x} <= 0 THEN 100.0 WHEN {x} >= {high} THEN 0.0 ELSE round((1 - {x} / {high}) * 100, 2) END"
 
 
+# The limits, points, weights and names of the scores, events and trends below.
 PCT = "CASE WHEN first_total > 0 THEN (last_total - first_total) * 100.0e0 / first_total ELSE 0.0e0 END"
 GROWTH = f"CASE WHEN points < 2 THEN 0.0 ELSE {linear('growth_pct', -10.0, 30.0)} END"
 POWER = linear("last_total", 50e9, 250e9)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The limits and points of the guards.
 HERO_FIT = "CASE WHEN power BETWEEN 1000000 AND 1000000000 THEN 60 ELSE 0 END + CASE WHEN player_name IS NOT NULL THEN 40 ELSE 0 END"
 ALLY_FIT = "CASE WHEN power > 1000000000 THEN 60 ELSE 0 END + CASE WHEN player_name IS NULL THEN 40 ELSE 0 END"
 VERDICT = "CASE WHEN power IS NULL THEN 'placeholder' WHEN fit >= 60 THEN 'pass' WHEN fit >= 40 THEN 'calibrated_pass' ELSE 'quarantine' END"

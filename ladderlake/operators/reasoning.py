@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The limits, points and weights of all rules in this module.
 WHALE = 220.0
 DELTA = "CASE WHEN old_power > 0 THEN (new_power - old_power) / old_power END"
 FACT_SEVERITY = "CASE WHEN abs(delta) >= 0.25 THEN 'CRITICAL' WHEN abs(delta) >= 0.15 THEN 'HIGH' ELSE 'MEDIUM' END"

@@ -159,9 +159,16 @@ class SnapshotIndex:
             "board", "from_date", "to_date", F.coalesce("new_identifier", "old_identifier").alias("identifier"), kind.alias("difference_type"), F.struct("old", "new").alias("payload")
         ).where("difference_type is not null")
 
-    def _forget(self, needed: set[int]) -> None:
+    def drop(self) -> None:
+        """Delete the index; written changes stay."""
+        self._forget(set(), keep_last=False)
+        for folder in ("heads", "entries", "applied", "layout"):
+            self._fs.delete(self._hadoop(f"{self.path}/{folder}"), True)
+
+    def _forget(self, needed: set[int], keep_last: bool = True) -> None:
         """Delete entries that no board needs, and tables of heads but the last."""
-        for g in self._generations()[:-1]:
+        known = self._generations()
+        for g in known[:-1] if keep_last else known:
             if g not in needed:
                 self._fs.delete(self._hadoop(f"{self.path}/entries/g{g}"), True)
                 self.spark.sql("DROP TABLE IF EXISTS ladderlake_index_" + hashlib.md5(f"{self.path}/entries/g{g}".encode()).hexdigest())
@@ -193,6 +200,8 @@ def diff_series(deliveries: DataFrame, buckets: int | None = None) -> DataFrame:
     index = SnapshotIndex(spark, f"{folder}/index", buckets)
     for n in dates:
         index.apply(delivered.where(F.col("seq") == n).drop("seq"))
+    index.drop()
+    index._fs.delete(index._hadoop(f"{folder}/delivered"), True)
     changes = spark.read.schema(CHANGES).parquet(*[f"{folder}/index/changes/g{n}" for n in range(2, len(dates) + 1)]) if len(dates) > 1 else spark.createDataFrame([], CHANGES)
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return changes.select("board", day("from_date"), day("to_date"), "identifier", "difference_type", "payload")

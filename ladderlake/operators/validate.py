@@ -53,7 +53,7 @@ def detail(truth: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def metrics(details: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, precision, recall, F1 of the rounded two, and the weighted score."""
+    """Counts, precision, recall, F1 of the rounded two, and the weighted score (fixed weights; names count by equality alone)."""
     share = lambda c: F.count_if(F.col(c)) * 1.0 / F.count("*")
     g = details.groupBy(*keys).agg(
         F.count("*").alias("truth_rows"), F.count_if(F.col("tier") > 0).alias("matched"), F.count_if((F.col("tier") > 0) & F.col("power_ok")).alias("good"),

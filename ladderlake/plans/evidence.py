@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderlake.operators import evidence as ev
+from ladderlake.operators.ranks import place_within
 from ladderlake.plans.base import Book, Frames
 from ladderlake.sources import readers
 
@@ -63,7 +64,7 @@ of("alignment_guard", place, "g", [], {"lane": "CASE WHEN mean_consensus >= 0.90
 of("row_evidence_status", place, "g", [], {"status": "CASE WHEN conflicts > 0 THEN 'CONFLICT' WHEN coverage >= 1 THEN 'COMPLETE' ELSE 'PARTIAL' END"})
 add("acquisition_heatmap", lambda f: pos(f).groupBy("pos").agg(F.count("*").alias("places"), F.count_if(F.col("state") == "CONFIRMED").alias("confirmed"), F.count_if(F.col("state") == "CONFLICT").alias("conflicts")), "SELECT pos, count(*) AS places, count(*) FILTER (WHERE state = 'CONFIRMED') AS confirmed, count(*) FILTER (WHERE state = 'CONFLICT') AS conflicts FROM p GROUP BY 1")
 add("evidence_summary", lambda f: place(f).groupBy("server").agg(F.count("*").alias("places"), F.count_if(F.col("readiness") == "READY").alias("ready"), F.sum("conflicts").alias("conflicts")), "SELECT server, count(*) AS places, count(*) FILTER (WHERE readiness = 'READY') AS ready, CAST(sum(conflicts) AS BIGINT) AS conflicts FROM g GROUP BY 1")
-add("scheduler", lambda f: place(f).withColumn("queue", F.row_number().over(W.partitionBy("server").orderBy(F.desc("conflicts"), "mean_consensus", "captured_on", "slot"))).select(*K, "queue"), f"SELECT {_K}, row_number() OVER (PARTITION BY server ORDER BY conflicts DESC, mean_consensus, captured_on, slot) AS queue FROM g")
+add("scheduler", lambda f: place_within(place(f), "server", [F.desc("conflicts"), F.col("mean_consensus"), F.col("captured_on"), F.col("slot")], "queue").select(*K, "queue"), f"SELECT {_K}, row_number() OVER (PARTITION BY server ORDER BY conflicts DESC, mean_consensus, captured_on, slot) AS queue FROM g")
 add("evidence_budget", lambda f: place(f).withColumn("spent", F.sum("positions").over(W.partitionBy("server").orderBy(F.desc("conflicts"), "mean_consensus", "captured_on", "slot").rowsBetween(W.unboundedPreceding, 0))).where("spent <= 500").select(*K, "spent"),
     f"SELECT {_K}, spent FROM (SELECT *, CAST(sum(positions) OVER (PARTITION BY server ORDER BY conflicts DESC, mean_consensus, captured_on, slot ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM g) WHERE spent <= 500")
 add("fragment_confidence", lambda f: ev.observations(f.t("fragments")).join(pos(f).select(*K, "pos", F.col("ch").alias("best")), [*K, "pos"]).groupBy("fragment_id").agg(F.round(F.sum((F.col("ch") == F.col("best")).cast("int")) / F.count("*"), 4).alias("agreement")),

@@ -12,14 +12,25 @@ from ladderlake.plans.base import Book, Frames
 
 B = Book()
 _D = dq._P7 + f", d0 AS (SELECT board, strftime(f, '%Y-%m-%d') AS from_date, strftime(t, '%Y-%m-%d') AS to_date, identifier, difference_type, old_name, old_server, old_alliance, old_power, new_name, new_server, new_alliance, new_power FROM j WHERE difference_type IS NOT NULL), d AS (SELECT *, {rs.DELTA} AS delta FROM d0)\n"
-_C = _D + ", c AS (SELECT board, to_date, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in rs.COUNTERS.items()) + f", CAST(greatest(0, 100 - coalesce(sum({rs.DECLINE_POINTS}), 0)) AS BIGINT) AS health FROM d GROUP BY ALL)\n"
-_K = _C
-_last = "c"
-for _i, (_n, _r) in enumerate(rs.RULES.items()):
-    _K += f", k{_i} AS (SELECT *, round(({_r})::DOUBLE, 4) AS {_n} FROM {_last})\n"
-    _last = f"k{_i}"
-_K += f", verdicts AS (SELECT * FROM {_last})\n"
-_F = _D + f""", facts AS (SELECT DISTINCT 'growth' AS source, CASE WHEN delta > 0 THEN 'Power gain' ELSE 'Power loss' END AS title, {rs.FACT_SEVERITY} AS severity, 'player' AS entity_type, identifier AS entity_id, board, to_date, round(delta, 4) AS delta, coalesce(new_alliance, 'none') AS tag,
+_POINTS = "(CASE WHEN delta > -0.08 THEN 0 WHEN delta > -0.15 THEN 10 WHEN delta > -0.25 THEN 20 WHEN delta <= -0.25 THEN 35 ELSE 0 END + 10 * coalesce(difference_type = 'Moved' AND delta <= -0.08, false)::INT)"
+_C = _D + f""", c AS (SELECT board, to_date, sum((difference_type = 'Added')::INT) AS added, sum((difference_type = 'Removed')::INT) AS removed, sum((difference_type = 'Moved')::INT) AS moved, sum((difference_type = 'Modified')::INT) AS modified,
+  count(*) FILTER (difference_type = 'Added' AND new_power >= 220) AS whales_in, count(*) FILTER (difference_type = 'Removed' AND old_power >= 220) AS whales_out, count(*) FILTER (delta >= 0.08) AS growth, count(*) FILTER (delta <= -0.08) AS decline,
+  CAST(greatest(0, 100 - sum({_POINTS})) AS BIGINT) AS health FROM d GROUP BY board, to_date)
+"""
+# the rules step by step, each rounded to four places
+_K = _C + """, k1 AS (SELECT *, (whales_in - whales_out)::DOUBLE AS whale_balance, (35 * (moved > 0)::INT + 25 * (added > 0)::INT + 25 * (removed > 0)::INT)::DOUBLE AS transfer_activity,
+  (100 - 30 * (moved > 0)::INT - 25 * (decline > 0)::INT)::DOUBLE AS alliance_stability, (35 * (decline > 1)::INT + 25 * (whales_out > 0)::INT + 30 * (health < 60)::INT)::DOUBLE AS strategic_risk,
+  least(100, 20 * moved + 10 * removed + 15 * decline)::DOUBLE AS recruitability, least(100, 8 * whales_in + 4 * growth + 2 * added)::DOUBLE AS talent,
+  (25 * decline + 15 * whales_out + 30 * (health BETWEEN 1 AND 60)::INT)::DOUBLE AS collapse FROM c),
+ k2 AS (SELECT *, round(CASE WHEN collapse >= 35 THEN least(95, 60 + 0.4::DOUBLE * collapse) END, 4) AS collapse_confidence, round(0.45::DOUBLE * recruitability + 0.35::DOUBLE * talent + 12 * decline, 4) AS window_score FROM k1),
+ k3 AS (SELECT *, round(CASE WHEN window_score >= 45 THEN least(96, 65 + 0.3::DOUBLE * window_score) END, 4) AS window_confidence, (20 * greatest(growth - decline, 0) + 20 * greatest(whale_balance, 0))::DOUBLE AS strength FROM k2),
+ k4 AS (SELECT *, round(CASE WHEN strength >= 35 THEN least(95, 60 + 0.35::DOUBLE * strength) END, 4) AS strength_confidence FROM k3),
+ verdicts AS (SELECT *, round(0.55::DOUBLE * coalesce(window_confidence, 0) + 0.25::DOUBLE * recruitability + 0.15::DOUBLE * talent + least(5 * decline, 15), 4) AS assess_window,
+  round(0.48::DOUBLE * coalesce(collapse_confidence, 0) + 0.28::DOUBLE * coalesce(window_confidence, 0) + CASE WHEN health < 45 THEN 18 WHEN health < 65 THEN 24.5::DOUBLE ELSE 0 END + least(7 * decline, 28) + least(9 * whales_out, 24) + least(10 * removed, 22), 4) AS assess_collapse,
+  round(0.65::DOUBLE * coalesce(strength_confidence, 0) + least(12 * growth, 30) + least(10 * greatest(whale_balance, 0), 20), 4) AS assess_strength,
+  round(least(100, 0.55::DOUBLE * recruitability + 0.25::DOUBLE * (100 - least(health, 100)) + 8 * whales_out + 10 * decline), 4) AS opportunity FROM k4)
+"""
+_F = _D + f""", facts AS (SELECT DISTINCT 'growth' AS source, CASE WHEN delta > 0 THEN 'Power gain' ELSE 'Power loss' END AS title, CASE WHEN abs(delta) < 0.15 THEN 'MEDIUM' WHEN abs(delta) < 0.25 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, 'player' AS entity_type, identifier AS entity_id, board, to_date, round(delta, 4) AS delta, coalesce(new_alliance, 'none') AS tag,
  sha256(concat_ws('|', 'growth', CASE WHEN delta > 0 THEN 'Power gain' ELSE 'Power loss' END, 'player', identifier, board, to_date)) AS fact_id FROM d WHERE abs(delta) >= 0.08)
 """
 
@@ -75,14 +86,14 @@ add("diff_filters", lambda f: flat(f).where("difference_type = 'Moved'").select(
 _WH = f"CASE difference_type WHEN 'Added' THEN 'INCOMING' WHEN 'Removed' THEN 'OUTGOING' ELSE 'MOVED' END"
 _WP = f"coalesce(new_power, old_power) >= {rs.WHALE} AND difference_type <> 'Modified'"
 add("whale_events", lambda f: flat(f).where(_WP).groupBy(*BD, F.expr(_WH).alias("event")).agg(F.count("*").alias("n")).withColumn("severity", F.expr(rs.WHALE_SEVERITY)),
-    _D + f"SELECT *, {rs.WHALE_SEVERITY} AS severity FROM (SELECT board, to_date, {_WH} AS event, count(*) AS n FROM d WHERE {_WP} GROUP BY ALL)")
+    _D + f"SELECT *, CASE n WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM (SELECT board, to_date, {_WH} AS event, count(*) AS n FROM d WHERE {_WP} GROUP BY ALL)")
 add("growth_facts", facts, _F + "SELECT * FROM facts")
 add("publish_facts", lambda f: facts(f).groupBy("title").agg(F.count("*").alias("n"), F.countDistinct("fact_id").alias("ids")), _F + "SELECT title, count(*) AS n, count(DISTINCT fact_id) AS ids FROM facts GROUP BY 1")
 _AL = "coalesce(old_alliance, new_alliance, 'none')"
 add("alliance_facts", lambda f: flat(f).groupBy("board", F.expr(_AL).alias("alliance")).agg(*[F.count_if(F.col("difference_type") == k).alias(k.lower()) for k in ("Added", "Removed", "Moved", "Modified")], F.count_if(F.col("delta") <= -0.2).alias("critical"), F.count_if((F.col("delta") <= -0.12) & (F.col("delta") > -0.2)).alias("high")),
     _D + f"SELECT board, {_AL} AS alliance, count(*) FILTER (WHERE difference_type = 'Added') AS added, count(*) FILTER (WHERE difference_type = 'Removed') AS removed, count(*) FILTER (WHERE difference_type = 'Moved') AS moved, count(*) FILTER (WHERE difference_type = 'Modified') AS modified, count(*) FILTER (WHERE delta <= -0.2) AS critical, count(*) FILTER (WHERE delta <= -0.12 AND delta > -0.2) AS high FROM d GROUP BY ALL")
 add("structural_health", lambda f: flat(f).groupBy("board", F.expr(_AL).alias("alliance")).agg(F.greatest(F.lit(0), F.lit(100) - F.coalesce(F.sum(F.expr(rs.DECLINE_POINTS)), F.lit(0))).cast("bigint").alias("health")),
-    _D + f"SELECT board, {_AL} AS alliance, CAST(greatest(0, 100 - coalesce(sum({rs.DECLINE_POINTS}), 0)) AS BIGINT) AS health FROM d GROUP BY ALL")
+    _D + f"SELECT board, {_AL} AS alliance, CAST(greatest(0, 100 - coalesce(sum({_POINTS}), 0)) AS BIGINT) AS health FROM d GROUP BY ALL")
 
 
 def talent(f: Frames):
