@@ -54,30 +54,29 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def pivotal(weight: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round ``p`` in [0, 1] so that sum(weight * p) stays; returns the rounded values and the index left undecided, or -1."""
+    """Round ``p`` in [0, 1] so that sum(weight * p) stays; returns the rounded values and the index left undecided, or -1.
+
+    All undecided neighbours meet in pairs at once; each pair decides one of its
+    two, and the others meet in the next round, about log2(n) rounds in all.
+    """
     out = p.astype(float).copy()
-    draws = rng.random(len(p))
-    held = -1
-    for i in range(len(out)):
-        if weight[i] <= 0:
-            out[i] = float(draws[i] < out[i])
-            continue
-        if out[i] <= 1e-12 or out[i] >= 1 - 1e-12:
-            out[i] = round(out[i])
-            continue
-        if held < 0:
-            held = i
-            continue
-        a, b, wa, wb = out[held], out[i], weight[held], weight[i]
-        up, down = min((1 - a) * wa, b * wb), min((1 - b) * wb, a * wa)
-        if draws[i] * (up + down) < down:
-            a, b = a + up / wa, b - up / wb
-        else:
-            a, b = a - down / wa, b + down / wb
-        a_open, b_open = 1e-9 < a < 1 - 1e-9, 1e-9 < b < 1 - 1e-9
-        out[held], out[i] = (a if a_open else round(a)), (b if b_open else round(b))
-        held = held if a_open else i if b_open else -1
-    return out, held
+    empty = weight <= 0
+    out[empty] = rng.random(int(empty.sum())) < out[empty]
+    undecided = np.flatnonzero(~empty & (out > 1e-12) & (out < 1 - 1e-12))
+    decided = ~empty
+    decided[undecided] = False
+    out[decided] = np.round(out[decided])
+    while len(undecided) > 1:
+        even = len(undecided) // 2 * 2
+        i, j, rest = undecided[0:even:2], undecided[1:even:2], undecided[even:]
+        a, b, wa, wb = out[i], out[j], weight[i], weight[j]
+        up, down = np.minimum((1 - a) * wa, b * wb), np.minimum((1 - b) * wb, a * wa)
+        take = rng.random(len(i)) * (up + down) < down
+        a, b = np.where(take, a + up / wa, a - down / wa), np.where(take, b - up / wb, b + down / wb)
+        a_open, b_open = (a > 1e-9) & (a < 1 - 1e-9), (b > 1e-9) & (b < 1 - 1e-9)
+        out[i], out[j] = np.where(a_open, a, np.round(a)), np.where(b_open & ~a_open, b, np.round(b))
+        undecided = np.concatenate([np.where(a_open, i, j)[a_open | b_open], rest])
+    return out, int(undecided[0]) if len(undecided) else -1
 
 
 def plan_rates(available: dict[str, int], targets: list[tuple[str, float, int]], total_tokens: float | None = None) -> dict[str, float]:
